@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _stamp(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum("v").cast("string")).first())
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
