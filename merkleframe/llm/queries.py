@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .pieces import round_trip_digests
 from .sharding import shard_documents
 from .simhash import fingerprint_hex, near_duplicates
+from .tokenids import crc32_of, token_ids
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public vocabulary files are on this machine; every executor has the same."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +28,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return read.select("doc_id", "start", "n_tokens", F.pandas_udf(crc32_of, "long")("ids").alias("ids_crc32"))
+
+
+def op10_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op2_minimax_sharding": op2_minimax_sharding,
     "op4_simhash": op4_simhash,
+    "op6_simple8b": op6_simple8b,
+    "op10_piece_merges": op10_piece_merges,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -17,6 +17,7 @@ whole next word is that value. The last word may be padded with zeros; n_ids tel
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -36,7 +37,7 @@ MARK = 1024
 #: A block is closed once it holds so many ids; a longer document makes a longer block.
 BLOCK_IDS = 1 << 16
 #: Words whose ids are remembered within a worker.
-MEMO = 200_000
+MEMO = 800_000
 
 _WIDTHS = np.array([w for _, w in PACKINGS])
 _ESCAPE = len(PACKINGS)  # width class of values over 60 bits
@@ -136,7 +137,6 @@ class WordTokenizer:
     with such a run go to the library whole; others word by word, and the ids of words are remembered.
     """
 
-    _white = re.compile(r"\s")
     _run = re.compile(r"\s (?:\s|\Z)")
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -155,14 +155,15 @@ class WordTokenizer:
         if len(self.memo) > self.most:
             self.memo = {}
         new = set().union(*(w[1:] for w in split if w)) - self.memo.keys()
-        plain = [w for w in new if w and not self._white.search(w)]
+        plain, odd = [], []  # odd: with white space at an end, where a neighbour could add to it
+        for w in new:
+            (plain if w and not (w[0].isspace() or w[-1].isspace()) else odd).append(w)
         for k in range(0, len(plain), 8192):
             part = plain[k : k + 8192]
             ids = np.frombuffer(self._encode([f" {' '.join(part)}"])[0], "<u4")
             at = np.flatnonzero(self.begins[ids]) * 4
             raw = ids.tobytes()
             self.memo.update((w, raw[a:b]) for w, a, b in zip(part, at.tolist(), [*at[1:].tolist(), len(raw)], strict=True))
-        odd = [w for w in new if not w or self._white.search(w)]
         self.memo.update(zip(odd, self._encode([f" {w}" for w in odd])))
         heads = iter(self._encode([t if w is None else w[0] for t, w in zip(texts, split)]))
         of = self.memo.__getitem__
@@ -173,10 +174,10 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def _tokenizer(path: str) -> WordTokenizer:
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return _TOKENIZERS.setdefault(path, None) or _TOKENIZERS.__setitem__(path, t := WordTokenizer(path)) or t
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 FILE_SCHEMA = "part int, block long, start long, n_ids long, doc_ids array<long>, counts array<long>, words binary, marks binary"
