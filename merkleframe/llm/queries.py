@@ -9,7 +9,7 @@ from .common import table
 from .pieces import round_trip_digests
 from .sharding import shard_documents
 from .simhash import fingerprint_hex, near_duplicates
-from .tokenids import crc32_of, token_ids
+from .tokenids import token_ids
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,8 +29,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = token_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
-    return read.select("doc_id", "start", "n_tokens", F.pandas_udf(crc32_of, "long")("ids").alias("ids_crc32"))
+    return token_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, with_ids=False)
 
 
 def op10_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:

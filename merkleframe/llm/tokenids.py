@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ MARK = 1024
 #: A block is closed once it holds so many ids; a longer document makes a longer block.
 BLOCK_IDS = 1 << 16
 #: Words whose ids are remembered within a worker.
-MEMO = 800_000
+MEMO = 300_000
 
 _WIDTHS = np.array([w for _, w in PACKINGS])
 _ESCAPE = len(PACKINGS)  # width class of values over 60 bits
@@ -61,21 +63,21 @@ def simple8b_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for w in _WIDTHS:
             need += v >= np.uint64(1 << int(w))
     # fits[i]: the largest count that can start at i; padding after the end fits anything
-    fits = np.zeros(n, np.uint8)
-    span, window = 1, need.copy()
+    fits = np.zeros(n + 60, np.uint8)
+    span, window = 1, np.concatenate([need, np.zeros(60, np.uint8)])
     for count, k in sorted((c, k) for k, (c, _) in enumerate(PACKINGS)):
         while span < count:
             step = min(span, count - span)  # windows of `span` overlap to make one of span + step
             later = window[step:]
-            np.maximum(window[: len(later)], later, out=window[: len(later)])
+            window = np.maximum(window[: len(later)], later)
             span += step
-        ok = window <= k
-        fits[ok] = count
-    steps, at, first = fits.tolist(), 0, []
+        fit = fits[: len(window)]
+        np.maximum(fit, (window <= k).view(np.uint8) * np.uint8(count), out=fit)
+    after, at, first = (np.arange(n) + np.maximum(fits[:n], 1)).tolist(), 0, []
     put = first.append
     while at < n:
         put(at)
-        at += steps[at] or 1
+        at = after[at]
     first = np.array(first, np.int64)
     count = fits[first]
     size = np.where(count == 0, 2, 1)
@@ -129,44 +131,74 @@ def simple8b_decode(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokenizer:
     """Ids of whole texts by the tokenizers library, which sees each different word once.
 
     The byte-level pre-tokenizer never joins what stands before a space to what follows it, but for
     runs of white space: there a text has white space, then a space, then white space or its end. Texts
     with such a run go to the library whole; others word by word, and the ids of words are remembered.
+    Words of Latin letters, digits and marks are pre-tokenised here and go straight to the library's
+    model; any other word goes through the whole library.
     """
 
     _run = re.compile(r"\s (?:\s|\Z)")
+    _simple = re.compile("[\x21-\x7e\xa1-\u024f]+")
+    #: What the byte-level pre-tokenizer splits a simple word into, a space before it.
+    _parts = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str, memo: int = MEMO):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.most, self.memo = Tokenizer.from_file(path), memo, {}
-        # in this byte-level vocabulary, only the first token of a word holds its space
-        tokens = [self.library.id_to_token(k) or "" for k in range(self.library.get_vocab_size())]
-        self.begins = np.array([t.startswith("\u0120") for t in tokens])
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
+        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or r"\Z.")
+        self.model = self.library.model
+        self.model._resize_cache(0)  # each word comes once
+        # the visible character that stands for each byte in the vocabulary
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {b: next(c for c, _ in shown.pre_tokenize_str(chr(b))) for b in range(128)}
+        continued = {b: shown.pre_tokenize_str(bytes([0xC2 + (b >> 6 & 1), 0x80 | b & 0x3F]).decode())[0][0] for b in range(128)}
+        self.shown |= {0x80 | b & 0x3F: continued[b][1] for b in range(64)}
+        self.shown |= {b: shown.pre_tokenize_str(bytes([b, 0x80]).decode())[0][0][0] for b in range(0xC2, 0xCA)}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _model(self, part: str) -> bytes:
+        return _packed([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.shown))])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and a simple word."""
+        if word.isalpha():
+            return _packed([t.id for t in self.model.tokenize(f"\u0120{word}")]) if word.isascii() else self._model(f" {word}")
+        out = []
+        for part in self._parts.findall(f" {word}"):
+            key = part[1:] if part[0] == " " else f" {part}"  # words hold no space
+            ids = self.memo.get(key)
+            if ids is None:
+                ids = self._model(part)
+                if part != f" {word}":
+                    self.memo[key] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [None if self._run.search(t) else t.split(" ") for t in texts]
         if len(self.memo) > self.most:
             self.memo = {}
-        new = set().union(*(w[1:] for w in split if w)) - self.memo.keys()
-        plain, odd = [], []  # odd: with white space at an end, where a neighbour could add to it
-        for w in new:
-            (plain if w and not (w[0].isspace() or w[-1].isspace()) else odd).append(w)
-        for k in range(0, len(plain), 8192):
-            part = plain[k : k + 8192]
-            ids = np.frombuffer(self._encode([f" {' '.join(part)}"])[0], "<u4")
-            at = np.flatnonzero(self.begins[ids]) * 4
-            raw = ids.tobytes()
-            self.memo.update((w, raw[a:b]) for w, a, b in zip(part, at.tolist(), [*at[1:].tolist(), len(raw)], strict=True))
-        self.memo.update(zip(odd, self._encode([f" {w}" for w in odd])))
-        heads = iter(self._encode([t if w is None else w[0] for t, w in zip(texts, split)]))
-        of = self.memo.__getitem__
+        memo, simple, special, odd = self.memo, self._simple.fullmatch, self.special.search, []
+        for word in set().union(*(w[1:] for w in split if w)) - memo.keys():
+            if word.isalpha() and word.isascii() or simple(word) and not special(word):
+                memo[word] = self._word(word)
+            else:
+                odd.append(word)
+        memo.update(zip(odd, self._whole([f" {w}" for w in odd])))
+        heads = iter(self._whole([t if w is None else w[0] for t, w in zip(texts, split)]))
+        of = memo.__getitem__
         return [next(heads) if w is None else next(heads) + b"".join(map(of, w[1:])) for w in split]
 
 
@@ -241,8 +273,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
     order.mapInPandas(blocks, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the files: doc_id, start (ids of all documents before it), n_tokens and ids (binary, little-endian unsigned 32-bit)."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """One row per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids.
+
+    ids are binary, little-endian unsigned 32-bit; ids_crc32 is their unsigned CRC-32.
+    """
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     totals = {r.part: r.n for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # a row per written file
     before, seen = {}, 0
@@ -254,20 +289,23 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for frame in frames:
             for row in frame.itertuples():
                 counts = np.asarray(row.counts, np.int64)
-                ids = simple8b_decode(np.frombuffer(row.words, "<u8"), row.n_ids).astype("<u4").tobytes()
+                ids = memoryview(simple8b_decode(np.frombuffer(row.words, "<u8"), row.n_ids).astype("<u4").tobytes())
                 ends = np.cumsum(counts)
                 starts = ends - counts
-                yield pd.DataFrame({
+                own = [ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
+                out = {
                     "doc_id": pd.array([None if d is None or d != d else int(d) for d in row.doc_ids], dtype="Int64"),
                     "start": before[row.part] + row.start + starts,
                     "n_tokens": counts,
-                    "ids": [ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())],
-                })
+                    "ids_crc32": [zlib.crc32(i) for i in own],
+                }
+                yield pd.DataFrame(out | ({"ids": [bytes(i) for i in own]} if with_ids else {}))
 
-    return files.select("part", "start", "n_ids", "doc_ids", "counts", "words").mapInPandas(unpacked, "doc_id long, start long, n_tokens long, ids binary")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    return files.select("part", "start", "n_ids", "doc_ids", "counts", "words").mapInPandas(unpacked, schema)
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """Write the documents' ids to files and read them back, see ``read_token_files``; path: a new shared folder by default.
 
     An empty table gives no rows. Repeated rows are documents like any other.
@@ -275,8 +313,4 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = N
     spark = docs.sparkSession
     path = path or f"{checkpoint_folder(spark)}/token-ids-{uuid.uuid4().hex}"
     write_token_files(docs, path, tokenizer, end_id, doc_id, text)
-    return read_token_files(spark, path)
-
-
-def crc32_of(ids: pd.Series) -> pd.Series:
-    return pd.Series([zlib.crc32(i) for i in ids], dtype="int64")
+    return read_token_files(spark, path, with_ids)
