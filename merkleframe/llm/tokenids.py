@@ -39,7 +39,7 @@ MARK = 1024
 #: A block is closed once it holds so many ids; a longer document makes a longer block.
 BLOCK_IDS = 1 << 16
 #: Words whose ids are remembered within a worker.
-MEMO = 300_000
+MEMO = 1_200_000
 
 _WIDTHS = np.array([w for _, w in PACKINGS])
 _ESCAPE = len(PACKINGS)  # width class of values over 60 bits
@@ -73,11 +73,11 @@ def simple8b_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             span += step
         fit = fits[: len(window)]
         np.maximum(fit, (window <= k).view(np.uint8) * np.uint8(count), out=fit)
-    after, at, first = (np.arange(n) + np.maximum(fits[:n], 1)).tolist(), 0, []
+    steps, at, first = np.maximum(fits[:n], 1).tobytes(), 0, []
     put = first.append
     while at < n:
         put(at)
-        at = after[at]
+        at += steps[at]
     first = np.array(first, np.int64)
     count = fits[first]
     size = np.where(count == 0, 2, 1)
@@ -87,9 +87,10 @@ def simple8b_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k, (c, w) in enumerate(PACKINGS):
         own = np.flatnonzero(count == c)
         if len(own):
-            lanes = np.arange(c)
-            packed = np.bitwise_or.reduce(padded[first[own][:, None] + lanes] << (lanes * w).astype(np.uint64), axis=1)
-            words[place[own]] = packed | np.uint64((k + 1) << 60)
+            at, packed = first[own], np.full(len(own), (k + 1) << 60, np.uint64)
+            for lane in range(c):
+                packed |= padded[at + lane] << np.uint64(lane * w)
+            words[place[own]] = packed
     raw = np.flatnonzero(count == 0)
     words[place[raw] + 1] = v[first[raw]]
     return words, first
@@ -124,8 +125,9 @@ def simple8b_decode(words: np.ndarray, n: int) -> np.ndarray:
     for k, (c, width) in enumerate(PACKINGS):
         own = np.flatnonzero(picked == k + 1)
         if len(own):
-            lanes = np.arange(c)
-            out[at[own][:, None] + lanes] = (w[heads[own]][:, None] >> (lanes * width).astype(np.uint64)) & np.uint64((1 << width) - 1)
+            to, packed, mask = at[own], w[heads[own]], np.uint64((1 << width) - 1)
+            for lane in range(c):
+                out[to + lane] = (packed >> np.uint64(lane * width)) & mask
     own = np.flatnonzero(picked == 0)
     out[at[own]] = w[heads[own] + 1] if len(own) else 0
     return out[:n]
@@ -172,34 +174,38 @@ class WordTokenizer:
         return _packed([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.shown))])
 
     def _word(self, word: str) -> bytes:
-        """Ids of a space and a simple word."""
+        """Ids of a simple word with a space before it, or of a text's first word where it is marked by a leading space."""
         if word.isalpha():
             return _packed([t.id for t in self.model.tokenize(f"\u0120{word}")]) if word.isascii() else self._model(f" {word}")
         out = []
-        for part in self._parts.findall(f" {word}"):
-            key = part[1:] if part[0] == " " else f" {part}"  # words hold no space
+        for part in self._parts.findall(word[1:] if word[0] == " " else f" {word}"):
+            key = part[1:] if part[0] == " " else f" {part}"
             ids = self.memo.get(key)
             if ids is None:
-                ids = self._model(part)
-                if part != f" {word}":
-                    self.memo[key] = ids
+                ids = self.memo[key] = self._model(part)
             out.append(ids)
         return b"".join(out)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if self._run.search(t) else t.split(" ") for t in texts]
         if len(self.memo) > self.most:
             self.memo = {}
-        memo, simple, special, odd = self.memo, self._simple.fullmatch, self.special.search, []
-        for word in set().union(*(w[1:] for w in split if w)) - memo.keys():
+        memo, simple, special = self.memo, self._simple.fullmatch, self.special.search
+        # words hold no space: a leading one marks the first word of a text, which has none before it
+        split = [[t] if self._run.search(t) else t.split(" ") for t in texts]
+        for words in split:
+            words[0] = f" {words[0]}"
+        odd = []
+        for word in set().union(*split) - memo.keys():
             if word.isalpha() and word.isascii() or simple(word) and not special(word):
                 memo[word] = self._word(word)
+            elif word[:1] == " " and simple(word, 1) and not special(word):
+                memo[word] = self._word(word)
             else:
                 odd.append(word)
-        memo.update(zip(odd, self._whole([f" {w}" for w in odd])))
-        heads = iter(self._whole([t if w is None else w[0] for t, w in zip(texts, split)]))
-        of = memo.__getitem__
-        return [next(heads) if w is None else next(heads) + b"".join(map(of, w[1:])) for w in split]
+        found = self._whole([w[1:] if w[:1] == " " else f" {w}" for w in odd])
+        memo.update((w, i) for w, i in zip(odd, found) if len(w) < 256)
+        rest = dict(zip(odd, found)) if any(len(w) >= 256 for w in odd) else None  # not worth remembering
+        return [b"".join(map(memo.__getitem__, w)) if rest is None else b"".join(memo[x] if x in memo else rest[x] for x in w) for w in split]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
