@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import language, toxicity
+from .common import fold, table
 from .pieces import round_trip_digests
 from .sharding import shard_documents
 from .simhash import fingerprint_hex, near_duplicates
@@ -28,10 +29,26 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = toxicity.learn(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, with_ids=False)
 
 
+def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = language.learn(docs.filter(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language.predicted(model, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 def op10_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -39,7 +56,9 @@ def op10_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_minimax_sharding": op2_minimax_sharding,
     "op4_simhash": op4_simhash,
+    "op5_compression_toxicity": op5_compression_toxicity,
     "op6_simple8b": op6_simple8b,
+    "op7_hyperdimensional_language": op7_hyperdimensional_language,
     "op10_piece_merges": op10_piece_merges,
 }
 ORACLE_SQL: dict[str, str] = {}
