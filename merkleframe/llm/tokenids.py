@@ -22,7 +22,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,7 +39,7 @@ MARK = 1024
 #: A block is closed once it holds so many ids; a longer document makes a longer block.
 BLOCK_IDS = 1 << 16
 #: Words whose ids are remembered within a worker.
-MEMO = 1_200_000
+MEMO = 700_000
 
 _WIDTHS = np.array([w for _, w in PACKINGS])
 _ESCAPE = len(PACKINGS)  # width class of values over 60 bits
@@ -133,8 +133,27 @@ def simple8b_decode(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACKERS[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Memo(dict):
+    """Remembers what ``make`` gives for a key, but for very long keys; ASCII words go straight to the model."""
+
+    def __init__(self, make: Callable[[str], bytes], tokenize: Callable):
+        self.make, self.tokenize = make, tokenize
+
+    def __missing__(self, key: str) -> bytes:
+        if key.isalpha() and key.isascii():
+            value = _packed([t.id for t in self.tokenize("\u0120" + key)])
+        else:
+            value = self.make(key)
+        if len(key) < 256:
+            self[key] = value
+        return value
 
 
 class WordTokenizer:
@@ -155,11 +174,12 @@ class WordTokenizer:
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library, self.most, self.memo = Tokenizer.from_file(path), memo, {}
+        self.library, self.most = Tokenizer.from_file(path), memo
         special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special) or r"\Z.")
         self.model = self.library.model
         self.model._resize_cache(0)  # each word comes once
+        self.memo = _Memo(self._any, self.model.tokenize)
         # the visible character that stands for each byte in the vocabulary
         shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {b: next(c for c, _ in shown.pre_tokenize_str(chr(b))) for b in range(128)}
@@ -176,7 +196,7 @@ class WordTokenizer:
     def _word(self, word: str) -> bytes:
         """Ids of a simple word with a space before it, or of a text's first word where it is marked by a leading space."""
         if word.isalpha():
-            return _packed([t.id for t in self.model.tokenize(f"\u0120{word}")]) if word.isascii() else self._model(f" {word}")
+            return self._model(f" {word}")
         out = []
         for part in self._parts.findall(word[1:] if word[0] == " " else f" {word}"):
             key = part[1:] if part[0] == " " else f" {part}"
@@ -186,26 +206,25 @@ class WordTokenizer:
             out.append(ids)
         return b"".join(out)
 
+    def _any(self, word: str) -> bytes:
+        """Ids of a word that is not remembered yet."""
+        if self._simple.fullmatch(word, word[:1] == " ") and not self.special.search(word):
+            return self._word(word)
+        return self._whole([word[1:] if word[:1] == " " else f" {word}"])[0]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > self.most:
-            self.memo = {}
-        memo, simple, special = self.memo, self._simple.fullmatch, self.special.search
-        # words hold no space: a leading one marks the first word of a text, which has none before it
-        split = [[t] if self._run.search(t) else t.split(" ") for t in texts]
-        for words in split:
-            words[0] = f" {words[0]}"
-        odd = []
-        for word in set().union(*split) - memo.keys():
-            if word.isalpha() and word.isascii() or simple(word) and not special(word):
-                memo[word] = self._word(word)
-            elif word[:1] == " " and simple(word, 1) and not special(word):
-                memo[word] = self._word(word)
+            self.memo.clear()
+        ids, out = self.memo.__getitem__, []
+        for text in texts:
+            if self._run.search(text):
+                out.append(self._whole([text])[0])
             else:
-                odd.append(word)
-        found = self._whole([w[1:] if w[:1] == " " else f" {w}" for w in odd])
-        memo.update((w, i) for w, i in zip(odd, found) if len(w) < 256)
-        rest = dict(zip(odd, found)) if any(len(w) >= 256 for w in odd) else None  # not worth remembering
-        return [b"".join(map(memo.__getitem__, w)) if rest is None else b"".join(memo[x] if x in memo else rest[x] for x in w) for w in split]
+                # words hold no space: a leading one marks the first word of a text, which has none before it
+                words = text.split(" ")
+                words[0] = f" {words[0]}"
+                out.append(b"".join(map(ids, words)))
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -260,7 +279,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, part = _tokenizer(tokenizer), TaskContext.get().partitionId()
         ids, payload, held, number, start = [], [], 0, 0, 0
-        for names, texts in _slices(frames, 1 << 21):
+        for names, texts in _slices(frames, 1 << 20):
             out = []
             for name, own in zip(names, encode(texts)):
                 ids.append(name)
