@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import language, toxicity
 from .common import fold, table
+from .linedup import MIN_WORDS, drop_repeated_runs
 from .pieces import round_trip_digests
 from .sharding import shard_documents
 from .simhash import fingerprint_hex, near_duplicates
@@ -49,6 +50,50 @@ def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op9_suffix_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_repeated_runs(docs, MIN_WORDS, count="removed_lines")
+
+
+#: Brute force: the runs themselves are compared, as texts.
+OP9_SQL = r"""
+WITH numbered AS (
+  SELECT coalesce(doc_id, 9223372036854775807) AS d, text, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(len(string_split(text, chr(10))))) AS idx
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+worded AS (
+  SELECT *, len(regexp_extract_all(line, '[^ 	-
+]+')) AS w FROM numbered),
+sequence AS (
+  SELECT d, text, line, idx, w, row_number() OVER (PARTITION BY d, text ORDER BY idx) AS seq
+  FROM worded WHERE w > 0),
+framed AS (
+  SELECT d, text, seq, idx,
+         list(line) OVER f AS lines_f, list(w) OVER f AS w_f, list(idx) OVER f AS idx_f,
+         list(line) OVER b AS lines_b, list(w) OVER b AS w_b, list(idx) OVER b AS idx_b
+  FROM sequence
+  WINDOW f AS (PARTITION BY d, text ORDER BY seq ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING),
+         b AS (PARTITION BY d, text ORDER BY seq ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+shortest AS (
+  SELECT *, list_filter(range(1, len(w_f) + 1), lambda n: list_sum(w_f[:n]) >= 50)[1] AS fm,
+         list_filter(range(1, len(w_b) + 1), lambda n: list_sum(w_b[len(w_b) - n + 1:]) >= 50)[1] AS bm
+  FROM framed),
+runs AS (
+  SELECT d, text, seq AS start, idx AS a, idx_f[fm] AS z, lines_f[:fm] AS run FROM shortest WHERE fm IS NOT NULL
+  UNION
+  SELECT d, text, seq - bm + 1, idx_b[len(idx_b) - bm + 1], idx, lines_b[len(lines_b) - bm + 1:] FROM shortest WHERE bm IS NOT NULL),
+later AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY d, text, start) AS copy FROM runs),
+gone AS (
+  SELECT DISTINCT d, text, unnest(range(a, z + 1)) AS idx FROM later WHERE copy > 1),
+left_over AS (
+  SELECT n.d, n.text, coalesce(string_agg(n.line, chr(10) ORDER BY n.idx) FILTER (WHERE g.idx IS NULL), '') AS new_text, count(g.idx) AS removed
+  FROM numbered n LEFT JOIN gone g ON n.d = g.d AND n.text = g.text AND n.idx = g.idx GROUP BY n.d, n.text)
+SELECT doc_id, new_text AS text, coalesce(removed, 0)::BIGINT AS removed_lines
+FROM documents LEFT JOIN left_over l ON l.d = coalesce(doc_id, 9223372036854775807) AND l.text = documents.text
+"""
+
+
 def op10_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -59,6 +104,7 @@ QUERIES = {
     "op5_compression_toxicity": op5_compression_toxicity,
     "op6_simple8b": op6_simple8b,
     "op7_hyperdimensional_language": op7_hyperdimensional_language,
+    "op9_suffix_line_dedup": op9_suffix_line_dedup,
     "op10_piece_merges": op10_piece_merges,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op9_suffix_line_dedup": OP9_SQL}
