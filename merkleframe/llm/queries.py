@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import language, toxicity
 from .common import fold, table
 from .linedup import MIN_WORDS, drop_repeated_runs
+from .packing import pack_documents
 from .pieces import round_trip_digests
 from .sharding import shard_documents
 from .simhash import fingerprint_hex, near_duplicates
@@ -25,6 +26,10 @@ def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -100,6 +105,7 @@ def op10_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_minimax_sharding": op2_minimax_sharding,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash": op4_simhash,
     "op5_compression_toxicity": op5_compression_toxicity,
     "op6_simple8b": op6_simple8b,
