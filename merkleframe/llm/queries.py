@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from . import language, rptrees, toxicity
 from .common import fold, table
 from .linedup import MIN_WORDS, drop_repeated_runs
 from .packing import pack_documents
@@ -22,6 +22,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rptrees.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -104,6 +108,7 @@ def op10_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_projection_forest": op1_projection_forest,
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash": op4_simhash,
