@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import language, rptrees, toxicity
 from .common import fold, table
 from .linedup import MIN_WORDS, drop_repeated_runs
+from .neighbours import search
 from .packing import pack_documents
 from .pieces import round_trip_digests
 from .sharding import shard_documents
@@ -59,6 +60,11 @@ def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op8_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return search(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op9_suffix_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeated_runs(docs, MIN_WORDS, count="removed_lines")
@@ -115,6 +121,7 @@ QUERIES = {
     "op5_compression_toxicity": op5_compression_toxicity,
     "op6_simple8b": op6_simple8b,
     "op7_hyperdimensional_language": op7_hyperdimensional_language,
+    "op8_adaptive_scan": op8_adaptive_scan,
     "op9_suffix_line_dedup": op9_suffix_line_dedup,
     "op10_piece_merges": op10_piece_merges,
 }

@@ -30,7 +30,7 @@ from .common import checkpoint, unit_hash
 from .components import connected_components
 
 COSINE = 0.93
-TREES = 10
+TREES = 12
 #: Vectors in a leaf: nodes are split down to LEAF, and one of up to SPARE times that is left as it is.
 LEAF, SPARE = 768, 1.5
 #: The middle share of a node that goes to both sides of its split.
