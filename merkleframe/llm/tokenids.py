@@ -140,8 +140,15 @@ def _packed(ids: list[int]) -> bytes:
     return _PACKERS[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
 
 
+#: Marks that are tokens of their own after a word, and at whose end nothing follows.
+_ENDS = frozenset(".,;:!?)")
+
+
 class _Memo(dict):
-    """Remembers what ``make`` gives for a key, but for very long keys; ASCII words go straight to the model."""
+    """Remembers what ``make`` gives for a key, but for very long keys and those across lines, which rarely come again.
+
+    ASCII words go straight to the model.
+    """
 
     def __init__(self, make: Callable[[str], bytes], tokenize: Callable):
         self.make, self.tokenize = make, tokenize
@@ -149,10 +156,13 @@ class _Memo(dict):
     def __missing__(self, key: str) -> bytes:
         if key.isalpha() and key.isascii():
             value = _packed([t.id for t in self.tokenize("\u0120" + key)])
+        elif key[-1:] in _ENDS and key[:-1].isalpha():
+            value = self[key[:-1]] + self[" " + key[-1]]
         else:
             value = self.make(key)
-        if len(key) < 256:
-            self[key] = value
+            if "\n" in key or len(key) >= 256:
+                return value
+        self[key] = value
         return value
 
 
@@ -167,9 +177,9 @@ class WordTokenizer:
     """
 
     _run = re.compile(r"\s (?:\s|\Z)")
-    _simple = re.compile("[\x21-\x7e\xa1-\u024f]+")
+    _simple = re.compile("[\n\x21-\x7e\xa1-\u024f]+")
     #: What the byte-level pre-tokenizer splits a simple word into, a space before it.
-    _parts = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
+    _parts = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -312,19 +322,21 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
 
     def unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.itertuples():
-                counts = np.asarray(row.counts, np.int64)
-                ids = memoryview(simple8b_decode(np.frombuffer(row.words, "<u8"), row.n_ids).astype("<u4").tobytes())
-                ends = np.cumsum(counts)
-                starts = ends - counts
-                own = [ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
-                out = {
-                    "doc_id": pd.array([None if d is None or d != d else int(d) for d in row.doc_ids], dtype="Int64"),
-                    "start": before[row.part] + row.start + starts,
-                    "n_tokens": counts,
-                    "ids_crc32": [zlib.crc32(i) for i in own],
-                }
-                yield pd.DataFrame(out | ({"ids": [bytes(i) for i in own]} if with_ids else {}))
+            for k in range(0, len(frame), 64):
+                names, starts, sizes, crcs, own = [], [], [], [], []
+                for row in frame.iloc[k : k + 64].itertuples():
+                    ids = memoryview(simple8b_decode(np.frombuffer(row.words, "<u8"), row.n_ids).astype("<u4").view(np.uint8))
+                    counts = np.asarray(row.counts, np.int64)
+                    ends = np.cumsum(counts)
+                    names += list(row.doc_ids)
+                    starts.append(before[row.part] + row.start + ends - counts)
+                    sizes.append(counts)
+                    bytes_of = [ids[4 * (b - n) : 4 * b] for b, n in zip(ends.tolist(), counts.tolist())]
+                    crcs += map(zlib.crc32, bytes_of)
+                    own += map(bytes, bytes_of) if with_ids else ()
+                if names:
+                    out = {"doc_id": pd.array([None if d is None or d != d else int(d) for d in names], dtype="Int64"), "start": np.concatenate(starts), "n_tokens": np.concatenate(sizes), "ids_crc32": crcs}
+                    yield pd.DataFrame(out | ({"ids": own} if with_ids else {}))
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     return files.select("part", "start", "n_ids", "doc_ids", "counts", "words").mapInPandas(unpacked, schema)
