@@ -102,6 +102,13 @@ def links(fingerprints: DataFrame, bucket_bound: int = BUCKET_BOUND) -> DataFram
     return found.distinct()
 
 
+def _rooted(prints: DataFrame, bucket_bound: int) -> DataFrame:
+    """(fp, root) of the different fingerprints in ``prints``, where root is a fingerprint of the same component."""
+    prints = checkpoint(prints.select("fp").distinct())
+    roots = connected_components(links(prints, bucket_bound))
+    return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bound: int = BUCKET_BOUND) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed long) and component_id, the least id reachable over links.
 
@@ -110,13 +117,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows; an empty table gives none. Other columns are not looked at.
     """
     prints = checkpoint(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")))
-    classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(classes.select("fp"), bucket_bound))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = checkpoint(_rooted(prints, bucket_bound).join(least, "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_bound: int = BUCKET_BOUND) -> DataFrame:
+    """The rows of ``docs``, with all columns, without near duplicates: one row of each component stays.
+
+    It is the one with the least id (null ones last), of equal ids the one with the least hash of its
+    text, and any one of rows that are alike in both.
+    """
+    last = F.lit((1 << 63) - 1)
+    key = {"d": F.coalesce(F.col(doc_id).cast("long"), last), "h": F.coalesce(F.xxhash64(text), last)}
+    prints = checkpoint(docs.select(key["d"].alias("d"), key["h"].alias("h"), fingerprint(F.col(text)).alias("fp")))
+    firsts = prints.groupBy("fp").agg(F.min(F.struct("d", "h")).alias("first"))
+    kept = _rooted(prints, bucket_bound).join(firsts, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.d", "first.h")
+    counted = checkpoint(prints.join(kept, ["d", "h"]).groupBy("d", "h").count())
+    rows = docs.select(key["d"].alias("d"), key["h"].alias("h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = rows.join(counted.filter("count = 1"), ["d", "h"], "left_semi").select("row.*")
+    repeated = counted.filter("count > 1")
+    if not repeated.isEmpty():
+        alike = rows.join(repeated, ["d", "h"], "left_semi")
+        out = out.unionByName(alike.groupBy("d", "h").agg(F.first("row").alias("row")).select("row.*"))
+    return out
+
+
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
