@@ -1,0 +1 @@
+"""Content-addressed snapshot analytics on DataFrames."""
