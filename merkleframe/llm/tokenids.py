@@ -39,7 +39,7 @@ MARK = 1024
 #: A block is closed once it holds so many ids; a longer document makes a longer block.
 BLOCK_IDS = 1 << 16
 #: Words whose ids are remembered within a worker.
-MEMO = 700_000
+MEMO = 250_000
 
 _WIDTHS = np.array([w for _, w in PACKINGS])
 _ESCAPE = len(PACKINGS)  # width class of values over 60 bits
@@ -289,7 +289,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, d
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, part = _tokenizer(tokenizer), TaskContext.get().partitionId()
         ids, payload, held, number, start = [], [], 0, 0, 0
-        for names, texts in _slices(frames, 1 << 20):
+        for names, texts in _slices(frames, 1 << 19):
             out = []
             for name, own in zip(names, encode(texts)):
                 ids.append(name)
