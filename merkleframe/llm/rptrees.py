@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,13 +49,31 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+@lru_cache(maxsize=8192)
 def _direction(tree: int, node: int, dim: int) -> np.ndarray:
     seed = int.from_bytes(hashlib.blake2b(f"{tree} {node} {dim}".encode(), digest_size=8).digest(), "little")
     return np.random.default_rng(seed).standard_normal(dim)
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Vectors as bytes: of 4-byte components where those are exact."""
+    for frame in frames:
+        out = []
+        for v in frame["v"]:
+            wide = np.asarray(v, "<f8")
+            narrow = wide.astype("<f4")
+            out.append((b"f" + narrow.tobytes()) if (narrow == wide).all() else (b"d" + wide.tobytes()))
+        yield frame.assign(v=out)
+
+
+def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
+    """Unit vectors in double precision, of packed ones."""
+    x = np.empty((len(vectors), dim))
+    wide = vectors.str.len().to_numpy() > 4 * dim + 1
+    values = vectors.to_numpy()
+    for own, kind in ((~wide, "<f4"), (wide, "<f8")):
+        if own.any():
+            x[own] = np.frombuffer(b"".join(v[1:] for v in values[own]), kind).reshape(-1, dim)
     x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow of the squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -96,16 +115,20 @@ def _grown(rows: DataFrame, counts: DataFrame, leaf: int, types: str) -> DataFra
     """One pass: ``rows`` (node key, c, v) of the nodes in ``counts`` (node key, n), routed to new nodes (without v)."""
 
     def fitted(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        splits = fit_splits(_matrix(own["v"]), int(own["n"].iloc[0]), int(key[2]), int(key[3]), leaf)
+        splits = fit_splits(_matrix(own["v"], int(key[1])), int(own["n"].iloc[0]), int(key[2]), int(key[3]), leaf)
         return pd.DataFrame([[*key, splits.astype("<f8").tobytes()]], columns=[*_NODE, "splits"])
 
     def routed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for key, own in frame.groupby(_NODE, sort=False):
-                splits = np.frombuffer(own["splits"].iloc[0], "<f8").reshape(-1, 2)
-                ids, x = own["c"].to_numpy(), _matrix(own["v"])
-                for node, at in route(x, splits, int(key[2]), int(key[3])):
-                    yield pd.DataFrame({"label": key[0], "dim": key[1], "tree": key[2], "node": node, "c": ids[at]})
+            places, nodes = [], []
+            for key, at in frame.groupby(_NODE, sort=False).indices.items():
+                splits = np.frombuffer(frame["splits"].iloc[at[0]], "<f8").reshape(-1, 2)
+                x = _matrix(frame["v"].iloc[at], int(key[1]))
+                for node, own in route(x, splits, int(key[2]), int(key[3])):
+                    places.append(at[own])
+                    nodes.append(np.full(len(own), node, np.int64))
+            if places:
+                yield frame.iloc[np.concatenate(places)].assign(node=np.concatenate(nodes))[[*_NODE, "c"]]
 
     few = counts.count() <= BROADCAST_NODES
     near = F.broadcast if few else (lambda x: x)
@@ -139,8 +162,9 @@ def forest(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFram
 def _components(linked: np.ndarray) -> np.ndarray:
     """The first member of each row's component."""
     n = len(linked)
-    root = np.full(n, -1)
-    for k in range(n):
+    some = linked.any(0)
+    root = np.where(some, -1, np.arange(n))
+    for k in np.flatnonzero(some).tolist():
         if root[k] >= 0:
             continue
         inside = np.zeros(n, bool)
@@ -163,12 +187,14 @@ def _first_meeting(codes: np.ndarray, i: np.ndarray, j: np.ndarray, here: int) -
     return out
 
 
-def compare(own: pd.DataFrame, here: int, across: bool, cosine: float) -> pd.DataFrame:
+def compare(own: pd.DataFrame, dim: int, here: int, across: bool, cosine: float) -> pd.DataFrame:
     """Links within a leaf, or between its two blocks: c, links (to vectors, in pairs first met here) and root."""
     own = own.sort_values("c", kind="stable").reset_index(drop=True)
-    x, c = _matrix(own["v"]), own["c"].to_numpy()
+    x, c = _matrix(own["v"], dim), own["c"].to_numpy()
     near = x @ x.T >= cosine
     np.fill_diagonal(near, False)
+    some = np.flatnonzero(near.any(0) | near.any(1))  # all else is about those that have a link
+    own, c, near = own.iloc[some], c[some], near[np.ix_(some, some)]
     near |= near.T
     if across:
         near &= own["b"].to_numpy()[:, None] != own["b"].to_numpy()[None, :]
@@ -202,7 +228,9 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, trees: int = TREES,
     marked = rows.select("vec_id", "label", "v", fit.alias("fit"), F.xxhash64("label", "v").alias("k1"), F.xxhash64(F.lit(1), "v", "label").alias("k2"))
     members = checkpoint(marked.select("vec_id", "fit", "k1", "k2"))
     classes = marked.filter("fit").groupBy("k1", "k2").agg(F.min("vec_id").alias("c"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"), F.first("label").alias("label"))
-    classes = checkpoint(classes.withColumn("dim", F.size("v")))
+    classes = classes.withColumn("dim", F.size("v")).withColumn("v", F.col("v").cast("array<double>"))
+    kinds = ", ".join(f"{n} {'binary' if n == 'v' else k}" for n, k in classes.dtypes)
+    classes = checkpoint(classes.mapInPandas(_packed, kinds))
     vectors = classes.select("label", "dim", "c", "v")
     leaves = checkpoint(forest(vectors, trees, leaf))
     ids = leaves.withColumn("leaf", F.col("tree").cast("long") * (1 << 57) + F.col("node"))
@@ -218,7 +246,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, trees: int = TREES,
         dealt = dealt.withColumns({"x": F.least("b", "o"), "y": F.greatest("b", "o")}).drop("o", "blocks")
 
     def compared(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        return compare(own, int(key[2]), key[3] != key[4], cosine)
+        return compare(own, int(key[1]), int(key[2]), key[3] != key[4], cosine)
 
     found = checkpoint(dealt.groupBy("label", "dim", "leaf", "x", "y").applyInPandas(compared, "c long, links long, root long"))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
