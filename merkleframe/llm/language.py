@@ -10,6 +10,7 @@ prototypes and the texts alike: the mean of the prototypes, in proportion to the
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ _SEED = 20240229
 _CLASSES = 512
 #: Characters that are looked at together.
 _CHARACTERS = 1 << 18
+_SPACE = re.compile(r"\s")
 #: Trigram vectors that a worker keeps.
 _KEPT = 1 << 14
 
@@ -113,9 +115,12 @@ class Trigrams:
         out, letters = np.zeros((len(texts), self.dimensions), np.float32), np.zeros(len(texts), np.int64)
         pieces: list[tuple[int, str]] = []
         for k, t in enumerate(texts):
-            t = (t or "").replace("\0", " ")
-            # pieces of long texts overlap by a trigram's context
-            pieces += [(k, t[max(0, a - 1) : a + _CHARACTERS + 1]) for a in range(0, len(t), _CHARACTERS)]
+            t, a = (t or "").replace("\0", " "), 0
+            while a < len(t):  # long texts are cut after white space, which no trigram goes across
+                cut = _SPACE.search(t, a + _CHARACTERS) if len(t) > a + _CHARACTERS else None
+                b = cut.end() if cut else len(t)
+                pieces.append((k, t[a:b]))
+                a = b
         start = 0
         while start < len(pieces):
             stop, total = start, 0
