@@ -109,7 +109,8 @@ def _later_copies(active: DataFrame, runs: DataFrame, rounds: int) -> DataFrame:
     tail = ranks.select("d", "h", F.col("seq").alias("last"), F.col("ranks").alias("tail"))
     joined = runs.join(head, [*_DOC, "start"]).join(tail, [*_DOC, "last"])
     interval = checkpoint(joined.select("d", "h", "start", "m", "from", "to", F.element_at("head", F.col("k") + 1).alias("x"), F.element_at("tail", F.col("k") + 1).alias("y")).filter("x is not null and y is not null"))
-    first = interval.groupBy("m", "x", "y").agg(F.min(F.struct("d", "h", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # cut off here, so that the join has shuffles of its own, which adaptive execution can split at a frequent run
+    first = checkpoint(interval.groupBy("m", "x", "y").agg(F.min(F.struct("d", "h", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     return interval.join(first, ["m", "x", "y"]).filter(F.struct("d", "h", "start") != F.col("first")).select("d", "h", "from", "to")
 
 
