@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from merkleframe.functions.blake3 import blake3, blake3_stream
+from merkleframe.functions.blake3 import Span, blake3, blake3_stream, combine
 from merkleframe.functions.hashing import digest, register
 from merkleframe.operators import algebra, catalog, incremental, integrity, merkle, objects
 from merkleframe.plans.workflows import CheckoutError, Workspace, id_of, manifest_of, text_of
@@ -78,6 +78,29 @@ def test_blake3_stream_over_several_subtrees():
     assert blake3_stream([data[k : k + 999_983] for k in range(0, len(data), 999_983)]) == blake3([data])[0]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.sampled_from([0, 5, 1024, 1025, 2048, 3000, 4096, 8192, 9000, 65536, 70001]), st.lists(st.integers(0, 70001), max_size=7), st.randoms(use_true_random=False))
+def test_spans_anywhere_in_any_order(size, cuts, order):
+    data = bytes(k * 7 % 251 for k in range(size))
+    cuts = sorted({0, size, *(c for c in cuts if c < size)})
+    nodes, ends = [], []
+    for a, b in order.sample(list(zip(cuts, cuts[1:])), len(cuts) - 1):
+        span = Span(a, size)
+        for k in range(a, b, 777):
+            span.update(data[k : min(b, k + 777)])
+        span.finish()
+        nodes += [(level, index, v.astype("<u4").tobytes()) for (level, index), v in span.nodes.items()]
+        ends += span.ends
+    assert combine(nodes, ends, size) == blake3([data])[0]
+
+
+def test_parallel_id(spark):
+    files = spark.range(30000).select(F.concat(F.lit("./d/"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("checksum"), F.lit(1).cast("long").alias("size"))
+    manifest = merkle.rollup(files)
+    assert merkle.snapshot_id_parallel(manifest) == merkle.snapshot_id(manifest).first().id
+    assert merkle.snapshot_id_parallel(manifest.limit(1)) == merkle.snapshot_id(manifest.limit(1)).first().id
+
+
 @pytest.mark.parametrize(("algorithm", "context"), list(NESTED_ROOTS))
 def test_nested_tree(spark, tmp_path, algorithm, context):
     root = root_of(manifest_of(spark, str(grow(tmp_path / "t", NESTED)), algorithm=algorithm, context=context))
