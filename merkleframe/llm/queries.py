@@ -113,6 +113,24 @@ def op10_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+#: Brute force over all pairs of a label.
+OP1_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reached AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other),
+component AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN component c USING (vec_id)
+"""
+
 QUERIES = {
     "op1_projection_forest": op1_projection_forest,
     "op2_minimax_sharding": op2_minimax_sharding,
@@ -125,4 +143,4 @@ QUERIES = {
     "op9_suffix_line_dedup": op9_suffix_line_dedup,
     "op10_piece_merges": op10_piece_merges,
 }
-ORACLE_SQL = {"op9_suffix_line_dedup": OP9_SQL}
+ORACLE_SQL = {"op1_projection_forest": OP1_SQL, "op9_suffix_line_dedup": OP9_SQL}
