@@ -38,8 +38,8 @@ PACKINGS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8)
 MARK = 1024
 #: A block is closed once it holds so many ids; a longer document makes a longer block.
 BLOCK_IDS = 1 << 16
-#: Words whose ids are remembered within a worker.
-MEMO = 400_000
+#: Words whose ids are remembered within a worker, twice as many with those that came before.
+MEMO = 300_000
 
 _WIDTHS = np.array([w for _, w in PACKINGS])
 _ESCAPE = len(PACKINGS)  # width class of values over 60 bits
@@ -147,14 +147,21 @@ _ENDS = frozenset(".,;:!?)")
 class _Memo(dict):
     """Remembers what ``make`` gives for a key, but for very long keys and those across lines, which rarely come again.
 
-    ASCII words go straight to the model.
+    ASCII words go straight to the model. ``old`` is the memo before, from which words still in use move on.
     """
 
-    def __init__(self, make: Callable[[str], bytes], tokenize: Callable):
-        self.make, self.tokenize = make, tokenize
+    def __init__(self, make: Callable[[str], bytes], tokenize: Callable, old: dict[str, bytes] | None = None):
+        self.make, self.tokenize, self.old = make, tokenize, old or {}
+
+    def renewed(self) -> _Memo:
+        self.old = {}
+        return _Memo(self.make, self.tokenize, self)
 
     def __missing__(self, key: str) -> bytes:
-        if key.isalpha() and key.isascii():
+        value = self.old.get(key)
+        if value is not None:
+            pass
+        elif key.isalpha() and key.isascii():
             value = _packed([t.id for t in self.tokenize("\u0120" + key)])
         elif key[-1:] in _ENDS and key[:-1].isalpha():
             value = self[key[:-1]] + self[" " + key[-1]]
@@ -210,7 +217,7 @@ class WordTokenizer:
         out = []
         for part in self._parts.findall(word[1:] if word[0] == " " else f" {word}"):
             key = part[1:] if part[0] == " " else f" {part}"
-            ids = self.memo.get(key)
+            ids = self.memo.get(key) or self.memo.old.get(key)
             if ids is None:
                 ids = self.memo[key] = self._model(part)
             out.append(ids)
@@ -224,7 +231,7 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > self.most:
-            self.memo.clear()
+            self.memo = self.memo.renewed()
         ids, out = self.memo.__getitem__, []
         for text in texts:
             if self._run.search(text):
