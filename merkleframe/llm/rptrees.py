@@ -191,20 +191,23 @@ def compare(own: pd.DataFrame, dim: int, here: int, across: bool, cosine: float)
     """Links within a leaf, or between its two blocks: c, links (to vectors, in pairs first met here) and root."""
     own = own.sort_values("c", kind="stable").reset_index(drop=True)
     x, c = _matrix(own["v"], dim), own["c"].to_numpy()
-    near = x @ x.T >= cosine
+    narrow = x.astype(np.float32)
+    perhaps = narrow @ narrow.T >= cosine - 1e-4
+    np.fill_diagonal(perhaps, False)
+    some = np.flatnonzero(perhaps.any(0) | perhaps.any(1))  # all else is about those that may have a link
+    near = x[some] @ x[some].T >= cosine
     np.fill_diagonal(near, False)
-    some = np.flatnonzero(near.any(0) | near.any(1))  # all else is about those that have a link
-    own, c, near = own.iloc[some], c[some], near[np.ix_(some, some)]
+    own, c = own.iloc[some], c[some]
     near |= near.T
     if across:
         near &= own["b"].to_numpy()[:, None] != own["b"].to_numpy()[None, :]
     i, j = np.nonzero(np.triu(near))
     links = np.zeros(len(own), np.int64)
     if len(i):
-        width = max(map(len, own["leaves"]))
-        codes = np.full((len(own), width), -1, np.int64)
-        for k, leaves in enumerate(own["leaves"]):
-            codes[k, : len(leaves)] = leaves
+        leaves = [np.frombuffer(x, ">i8") for x in own["leaves"]]
+        codes = np.full((len(own), max(map(len, leaves))), -1, np.int64)
+        for k, x in enumerate(leaves):
+            codes[k, : len(x)] = x
         first = _first_meeting(codes, i, j, here)
         i, j, copies = i[first], j[first], own["copies"].to_numpy()
         np.add.at(links, i, copies[j])
@@ -237,7 +240,9 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, trees: int = TREES,
     sizes = ids.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * leaf)
     split = checkpoint(sizes.select("label", "dim", "leaf", F.ceil(F.col("n") / leaf).cast("int").alias("blocks")))
     listed = ids.groupBy("c").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
-    dealt = classes.join(listed, "c").select("label", "dim", "c", "v", "copies", "leaves", F.explode("leaves").alias("leaf"))
+    # as bytes, big end first: most vectors have no link, and then nobody looks at their leaves
+    packed = F.unhex(F.array_join(F.transform("leaves", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    dealt = classes.join(listed, "c").select("label", "dim", "c", "v", "copies", packed.alias("leaves"), F.explode("leaves").alias("leaf"))
     if split.isEmpty():
         dealt = dealt.withColumns({"b": F.lit(0), "x": F.lit(0), "y": F.lit(0)})
     else:
