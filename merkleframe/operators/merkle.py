@@ -87,11 +87,13 @@ def rollup(files: DataFrame, dirs: DataFrame | None = None, algorithm: str = "sh
     """
     if "permissions" not in files.columns:
         files = files.withColumn("permissions", F.lit(file_mode))
+    # every level reads the files' rows; this way their contents are read and hashed once
+    files = checkpoint(files.select("path", "permissions", "checksum", F.col("size").cast("long").alias("size")))
     dirs = ancestors(files) if dirs is None else dirs
     if "permissions" not in dirs.columns:
         dirs = dirs.withColumn("permissions", F.lit(dir_mode))
     dirs = checkpoint(dirs.select("path", "permissions", depth(F.col("path")).alias("depth"), parent(F.col("path")).alias("parent")))
-    leaves = files.select(parent(F.col("path")).alias("parent"), "checksum", F.col("size").cast("long").alias("size"))
+    leaves = files.select(parent(F.col("path")).alias("parent"), "checksum", "size")
     leaves = leaves.withColumn("depth", depth(F.col("parent")))
     empty = digest(F.lit(""), algorithm, context)
     rolled: DataFrame | None = None
@@ -108,7 +110,7 @@ def rollup(files: DataFrame, dirs: DataFrame | None = None, algorithm: str = "sh
         own = checkpoint(own) if k % CUT_EVERY == CUT_EVERY - 1 else own
         rolled = own if rolled is None else rolled.unionByName(own)
         below = own.filter(F.col("parent").isNotNull()).select("parent", "checksum", "size")
-    rows = files.select(F.lit("F").alias("path_type"), "permissions", "checksum", F.col("size").cast("long").alias("size"), "path")
+    rows = files.select(F.lit("F").alias("path_type"), "permissions", "checksum", "size", "path")
     if rolled is None:
         return rows
     return rows.unionByName(rolled.withColumn("path_type", F.lit("D")).select(*MANIFEST_COLUMNS))
