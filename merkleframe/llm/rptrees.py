@@ -31,9 +31,9 @@ from .common import checkpoint, unit_hash
 from .components import connected_components
 
 COSINE = 0.93
-TREES = 12
+TREES = 10
 #: Vectors in a leaf: nodes are split down to LEAF, and one of up to SPARE times that is left as it is.
-LEAF, SPARE = 768, 1.5
+LEAF, SPARE = 1536, 1.5
 #: The middle share of a node that goes to both sides of its split.
 SPILL = 0.2
 #: Vectors that a node's splits are fitted on, about, and the levels that a pass grows.
@@ -69,8 +69,8 @@ def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
     """Unit vectors in double precision, of packed ones."""
     x = np.empty((len(vectors), dim))
-    wide = vectors.str.len().to_numpy() > 4 * dim + 1
     values = vectors.to_numpy()
+    wide = np.fromiter(map(len, values), np.int64, len(values)) > 4 * dim + 1
     for own, kind in ((~wide, "<f4"), (wide, "<f8")):
         if own.any():
             x[own] = np.frombuffer(b"".join(v[1:] for v in values[own]), kind).reshape(-1, dim)
@@ -239,10 +239,10 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, trees: int = TREES,
     ids = leaves.withColumn("leaf", F.col("tree").cast("long") * (1 << 57) + F.col("node"))
     sizes = ids.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * leaf)
     split = checkpoint(sizes.select("label", "dim", "leaf", F.ceil(F.col("n") / leaf).cast("int").alias("blocks")))
-    listed = ids.groupBy("c").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
-    # as bytes, big end first: most vectors have no link, and then nobody looks at their leaves
-    packed = F.unhex(F.array_join(F.transform("leaves", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
-    dealt = classes.join(listed, "c").select("label", "dim", "c", "v", "copies", packed.alias("leaves"), F.explode("leaves").alias("leaf"))
+    # the list as bytes too, big end first: most vectors have no link, and then nobody looks at it
+    packed = F.unhex(F.array_join(F.transform("all", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    listed = checkpoint(ids.groupBy("c").agg(F.array_sort(F.collect_list("leaf")).alias("all")).withColumn("leaves", packed))
+    dealt = classes.join(listed, "c").select("label", "dim", "c", "v", "copies", "leaves", F.explode("all").alias("leaf"))
     if split.isEmpty():
         dealt = dealt.withColumns({"b": F.lit(0), "x": F.lit(0), "y": F.lit(0)})
     else:
