@@ -39,7 +39,7 @@ MARK = 1024
 #: A block is closed once it holds so many ids; a longer document makes a longer block.
 BLOCK_IDS = 1 << 16
 #: Words whose ids are remembered within a worker, twice as many with those that came before.
-MEMO = 300_000
+MEMO = 400_000
 
 _WIDTHS = np.array([w for _, w in PACKINGS])
 _ESCAPE = len(PACKINGS)  # width class of values over 60 bits
@@ -150,12 +150,12 @@ class _Memo(dict):
     ASCII words go straight to the model. ``old`` is the memo before, from which words still in use move on.
     """
 
-    def __init__(self, make: Callable[[str], bytes], tokenize: Callable, old: dict[str, bytes] | None = None):
-        self.make, self.tokenize, self.old = make, tokenize, old or {}
+    def __init__(self, make: Callable[[str], bytes], tokenize: Callable, shown: dict[int, str], old: dict[str, bytes] | None = None):
+        self.make, self.tokenize, self.shown, self.old = make, tokenize, shown, old or {}
 
     def renewed(self) -> _Memo:
         self.old = {}
-        return _Memo(self.make, self.tokenize, self)
+        return _Memo(self.make, self.tokenize, self.shown, self)
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
@@ -163,6 +163,8 @@ class _Memo(dict):
             pass
         elif key.isalpha() and key.isascii():
             value = _packed([t.id for t in self.tokenize("\u0120" + key)])
+        elif key.isalpha() and max(key) < "\u0250":
+            value = _packed([t.id for t in self.tokenize("\u0120" + key.encode().decode("latin-1").translate(self.shown))])
         elif key[-1:] in _ENDS and key[:-1].isalpha():
             value = self[key[:-1]] + self[" " + key[-1]]
         else:
@@ -196,13 +198,13 @@ class WordTokenizer:
         self.special = re.compile("|".join(special) or r"\Z.")
         self.model = self.library.model
         self.model._resize_cache(0)  # each word comes once
-        self.memo = _Memo(self._any, self.model.tokenize)
         # the visible character that stands for each byte in the vocabulary
         shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {b: next(c for c, _ in shown.pre_tokenize_str(chr(b))) for b in range(128)}
         continued = {b: shown.pre_tokenize_str(bytes([0xC2 + (b >> 6 & 1), 0x80 | b & 0x3F]).decode())[0][0] for b in range(128)}
         self.shown |= {0x80 | b & 0x3F: continued[b][1] for b in range(64)}
         self.shown |= {b: shown.pre_tokenize_str(bytes([b, 0x80]).decode())[0][0][0] for b in range(0xC2, 0xCA)}
+        self.memo = _Memo(self._any, self.model.tokenize, self.shown)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
