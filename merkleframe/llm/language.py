@@ -185,7 +185,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
             unit = _units(_trigrams(dimensions).bundles(frame["t"].tolist())[0])
             for name, own in frame.groupby("l", sort=False).indices.items():
                 sums[name] = sums.get(name, 0) + unit[own].astype(np.float64).sum(0)
-        yield pd.DataFrame({"l": [n for n in sums for _ in range(dimensions)], "k": list(range(dimensions)) * len(sums), "x": np.concatenate([np.zeros(0), *sums.values()])})
+        if sums:
+            yield pd.DataFrame({"l": [n for n in sums for _ in range(dimensions)], "k": list(range(dimensions)) * len(sums), "x": np.concatenate([*sums.values()])})
 
     # decimals: the sum doesn't depend on the order of the tasks
     total = rows.select("l", "t").mapInPandas(bundled, "l string, k int, x double").groupBy("l", "k").agg(F.sum(F.col("x").cast("decimal(28,10)")).cast("double").alias("x"))

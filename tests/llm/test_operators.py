@@ -311,6 +311,8 @@ def test_language_held_out(spark, clashing):
     assert model.predict([None, "", "123 !?"])[0] == ["und"] * 3
     got = {r.doc_id: r for r in language.identify(table, model).collect()}
     assert got[9000].lang_pred == "und" and got[9000].score == 0 and len(got) == len(rows) + 2
+    sparse = language.learn(table.limit(3).repartition(8))  # tasks without rows
+    assert sparse.names == ["xx", "yy", "zz"]
     nothing = language.learn(table.limit(0))
     assert nothing.predict(["abc"])[0] == ["und"]
 
