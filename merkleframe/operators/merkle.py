@@ -69,7 +69,8 @@ def _streamed_level(children: DataFrame, algorithm: str) -> DataFrame:
                         out.append((at, hasher.hexdigest()))
                     at, hasher = name, hashlib.new(algorithm)
                 hasher.update(checksum.encode())
-            yield pd.DataFrame(out, columns=["path", "checksum"])
+            if out:
+                yield pd.DataFrame(out, columns=["path", "checksum"])
         if hasher is not None:
             yield pd.DataFrame([(at, hasher.hexdigest())], columns=["path", "checksum"])
 
@@ -166,7 +167,9 @@ def snapshot_id_parallel(manifest: DataFrame) -> str:
             span.update("".join(f"{x}\n" for x in frame["line"]).encode())
         span.finish()
         rows = [(level, index, value.astype("<u4").tobytes()) for (level, index), value in span.nodes.items()]
-        yield pd.DataFrame([*rows, *((-1, at, data) for at, data in span.ends)], columns=["level", "at", "data"])
+        rows += [(-1, at, data) for at, data in span.ends]
+        if rows:
+            yield pd.DataFrame(rows, columns=["level", "at", "data"])
 
     found = lines.mapInPandas(hashed, "level int, at long, data binary").collect()
     return combine_spans(((r.level, r["at"], bytes(r.data)) for r in found if r.level >= 0), ((r["at"], bytes(r.data)) for r in found if r.level < 0), total).hex()

@@ -25,7 +25,8 @@ def _revisions(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
             out.append((r.id, last, key[0], r.created_at))
             last = r.id
     state.update((last,))
-    yield pd.DataFrame(out, columns=["id", "previous_id", "location", "created_at"])
+    if out:
+        yield pd.DataFrame(out, columns=["id", "previous_id", "location", "created_at"])
 
 
 def collapse_stream(events: DataFrame) -> DataFrame:
