@@ -33,6 +33,8 @@ PER_LIST = 64
 PROBED, FIRST = 0.75, 2
 #: Coordinates in a block, and the errors (in standard deviations) that a candidate is given.
 COLUMNS, EPSILON = 16, 3.0
+#: Rounding that a distance of rotated vectors is given, as a share of the greatest norm that a hit can have.
+ROUNDING = 1e-9
 #: Candidates and queries in a task's block, about.
 CANDIDATES, QUERIES = 4096, 256
 _SEED = 7
@@ -70,11 +72,13 @@ def scan(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, bound: float,
         # no threshold yet: the k-th distance to the first candidates
         head = alive[: 4 * k]
         bound = float(np.partition(np.sqrt(((x[head] - q) ** 2).sum(1)), k - 1)[k - 1])
+    # candidates and queries are rotated by separate products, so even a copy's partial distance is not quite 0
+    slack = ROUNDING * (float(np.sqrt((q**2).sum())) + bound)
     partial = np.zeros(len(alive))
     for a in range(0, dim, COLUMNS):
         b = min(dim, a + COLUMNS)
         partial += ((turned[alive, a:b] - turned_q[a:b]) ** 2).sum(1)
-        limit = bound * (1 + EPSILON / np.sqrt(b)) if b < dim else bound * (1 + 1e-9) + 1e-12
+        limit = bound * (1 + (EPSILON / np.sqrt(b) if b < dim else 0)) + slack
         near = partial * (dim / b) <= limit**2
         alive, partial = alive[near], partial[near]
     exact = np.sqrt(((x[alive] - q) ** 2).sum(1))

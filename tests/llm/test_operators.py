@@ -497,3 +497,17 @@ def test_scan_abandons_nothing_that_is_near():
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         d[q] = np.inf
         assert len(set(got) & set(np.lexsort((ids, d))[:10])) >= 9
+
+
+@pytest.mark.parametrize("asked", [1, 3, 5])
+def test_scan_finds_exact_copies(asked):
+    r = np.random.default_rng(asked)
+    x = r.normal(size=(4000, 64))
+    x[500:3500] = x[500]
+    turn = neighbours.rotation(64)
+    turned, at = np.asfortranarray(x @ turn), np.arange(500, 500 + asked)
+    for own, q, turned_q in zip(at, x[at], x[at] @ turn):
+        copies = [k for k in range(500, 520) if k != own][:10]
+        for bound in (float("inf"), 0.0):
+            found, score = neighbours.scan(x[490:], np.arange(490, 4000), q, own, bound, turned[490:], turned_q, 10)
+            assert found.tolist() == copies and not score.any()
