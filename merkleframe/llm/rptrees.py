@@ -3,7 +3,8 @@
 Each tree splits the vectors of a label by random projections, again and again. A split sends the
 vectors around its middle (the spill) to both sides, so that near vectors are rarely parted, and a
 tree's leaves hold a bounded number of them. Within a leaf all pairs are compared; what one tree parts,
-others bring together.
+others bring together. The spill is at least as wide as linked vectors lie apart on the projection, so
+a split parts few of them however dense its node is.
 
 - The thresholds of a split come from a bounded sample of the node's vectors; every vector is routed.
   A pass grows each node that is still too large by several levels, so the number of passes grows with
@@ -12,8 +13,9 @@ others bring together.
   list of its leaves, so this needs no list of pairs: a leaf gives a row per vector, with the number of
   links and its place in the leaf's own components.
 - Equal vectors of a label are one vector with a multiplicity.
-- A leaf that can't be split (vectors that no projection tells apart) is compared exactly, in pairs of
-  blocks.
+- A node whose halves would have as many pairs as itself (a dense group, or vectors that no projection
+  tells apart) isn't split, and is compared exactly, in pairs of blocks. Such a group stays together in
+  all trees, so a large leaf leaves out the pairs of its members that are together in an earlier one.
 """
 
 from __future__ import annotations
@@ -36,9 +38,15 @@ TREES = 10
 LEAF, SPARE = 1536, 1.5
 #: The middle share of a node that goes to both sides of its split.
 SPILL = 0.2
+#: The least width of the spill, in standard deviations of the projected difference of two vectors at the cosine.
+WIDTH = 4 / 3
+#: Directions and places that are tried before a node is left whole.
+DIRECTIONS, PLACES = 6, (0.5, 0.3, 0.4, 0.6, 0.7)
+#: A leaf of more times LEAF is compared in pairs of blocks.
+WHOLE = 2
 #: Vectors that a node's splits are fitted on, about, and the levels that a pass grows.
 SAMPLE, LEVELS = 4096, 6
-#: Fitted nodes that may be broadcast (each has up to 2^LEVELS - 1 pairs of thresholds, about 1 kB).
+#: Fitted nodes that may be broadcast (each has up to 2^LEVELS - 1 splits, about 1.5 kB).
 BROADCAST_NODES = 4096
 _NODE = ["label", "dim", "tree", "node"]
 
@@ -50,8 +58,8 @@ def usable(vector: Column) -> Column:
 
 
 @lru_cache(maxsize=8192)
-def _direction(tree: int, node: int, dim: int) -> np.ndarray:
-    seed = int.from_bytes(hashlib.blake2b(f"{tree} {node} {dim}".encode(), digest_size=8).digest(), "little")
+def _direction(tree: int, node: int, dim: int, turn: int = 0) -> np.ndarray:
+    seed = int.from_bytes(hashlib.blake2b(f"{tree} {node} {dim}{f' {turn}' if turn else ''}".encode(), digest_size=8).digest(), "little")
     return np.random.default_rng(seed).standard_normal(dim)
 
 
@@ -78,22 +86,37 @@ def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_splits(x: np.ndarray, size: int, tree: int, node: int, leaf: int = LEAF, spill: float = SPILL, levels: int = LEVELS) -> np.ndarray:
-    """Thresholds (lower, upper) of the splits below a node of ``size`` vectors, by heap position; NaN: no split."""
-    out = np.full(((1 << levels) - 1, 2), np.nan)
-    rate = len(x) / max(1, size)
+def _best_split(x: np.ndarray, tree: int, node: int, spill: float, width: float) -> tuple[float, float, int] | None:
+    """Thresholds and direction: the first even split that leaves fewer pairs, or else the one that leaves fewest; None if none does."""
+    best, least = None, 1.0
+    for turn in range(DIRECTIONS):
+        p = np.sort(x @ _direction(tree, node, x.shape[1], turn))
+        for place in PLACES:
+            low, middle, high = np.quantile(p, [place - spill / 2, place, place + spill / 2])
+            low, high = min(low, middle - width / 2), max(high, middle + width / 2)
+            left, right = np.searchsorted(p, high, "right") / len(p), 1 - np.searchsorted(p, low) / len(p)
+            if left < 1 and right < 1 and left**2 + right**2 < least:
+                best, least = (low, high, turn), left**2 + right**2
+                if place == 0.5:
+                    return best
+    return best
+
+
+def fit_splits(x: np.ndarray, size: int, tree: int, node: int, leaf: int = LEAF, spill: float = SPILL, levels: int = LEVELS, cosine: float = COSINE) -> np.ndarray:
+    """Thresholds (lower, upper) and direction of the splits below a node of ``size`` vectors, by heap position; NaN: no split."""
+    out = np.full(((1 << levels) - 1, 3), np.nan)
+    rate, width = len(x) / max(1, size), WIDTH * np.sqrt(max(0.0, 2 - 2 * cosine))
     todo = [(0, node, x)]
     while todo:
         k, path, own = todo.pop()
         if k >= len(out) or len(own) <= leaf * rate or len(own) < 32:
             continue
-        p = own @ _direction(tree, path, x.shape[1])
-        low, high = np.quantile(p, [0.5 - spill / 2, 0.5 + spill / 2])
-        left, right = p <= high, p >= low
-        if left.all() or right.all():
+        found = _best_split(own, tree, path, spill, width)
+        if found is None:
             continue
-        out[k] = low, high
-        todo += [(2 * k + 1, 2 * path, own[left]), (2 * k + 2, 2 * path + 1, own[right])]
+        out[k] = low, high, turn = found
+        p = own @ _direction(tree, path, x.shape[1], turn)
+        todo += [(2 * k + 1, 2 * path, own[p <= high]), (2 * k + 2, 2 * path + 1, own[p >= low])]
     return out
 
 
@@ -107,22 +130,22 @@ def route(x: np.ndarray, splits: np.ndarray, tree: int, node: int) -> Iterator[t
         if k >= len(splits) or np.isnan(splits[k, 0]):
             yield path, own
             continue
-        p = x[own] @ _direction(tree, path, x.shape[1])
+        p = x[own] @ _direction(tree, path, x.shape[1], int(splits[k, 2]))
         todo += [(2 * k + 1, 2 * path, own[p <= splits[k, 1]]), (2 * k + 2, 2 * path + 1, own[p >= splits[k, 0]])]
 
 
-def _grown(rows: DataFrame, counts: DataFrame, leaf: int, types: str) -> DataFrame:
+def _grown(rows: DataFrame, counts: DataFrame, leaf: int, types: str, cosine: float) -> DataFrame:
     """One pass: ``rows`` (node key, c, v) of the nodes in ``counts`` (node key, n), routed to new nodes (without v)."""
 
     def fitted(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        splits = fit_splits(_matrix(own["v"], int(key[1])), int(own["n"].iloc[0]), int(key[2]), int(key[3]), leaf)
+        splits = fit_splits(_matrix(own["v"], int(key[1])), int(own["n"].iloc[0]), int(key[2]), int(key[3]), leaf, cosine=cosine)
         return pd.DataFrame([[*key, splits.astype("<f8").tobytes()]], columns=[*_NODE, "splits"])
 
     def routed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             places, nodes = [], []
             for key, at in frame.groupby(_NODE, sort=False).indices.items():
-                splits = np.frombuffer(frame["splits"].iloc[at[0]], "<f8").reshape(-1, 2)
+                splits = np.frombuffer(frame["splits"].iloc[at[0]], "<f8").reshape(-1, 3)
                 x = _matrix(frame["v"].iloc[at], int(key[1]))
                 for node, own in route(x, splits, int(key[2]), int(key[3])):
                     places.append(at[own])
@@ -137,7 +160,7 @@ def _grown(rows: DataFrame, counts: DataFrame, leaf: int, types: str) -> DataFra
     return rows.join(near(splits), _NODE).mapInPandas(routed, f"{types}, c long")
 
 
-def forest(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def forest(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, cosine: float = COSINE) -> DataFrame:
     """Rows (label, dim, tree, node, c): the leaves of each vector of ``vectors`` (label, dim, c, v)."""
     types = f"label {dict(vectors.dtypes)['label']}, dim int, tree int, node long"
     rows = vectors.select("label", "dim", F.explode(F.array(*(F.lit(t) for t in range(trees)))).alias("tree"), F.lit(1).cast("long").alias("node"), "c", "v")
@@ -154,7 +177,7 @@ def forest(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF) -> DataFram
         small = F.broadcast(counts) if counts.count() <= BROADCAST_NODES else counts
         done = placed.join(small, _NODE, "left_anti")
         settled = done if settled is None else settled.unionByName(done)
-        placed = checkpoint(_grown(rows.join(small.drop("n"), _NODE, "left_semi"), counts, leaf, types))
+        placed = checkpoint(_grown(rows.join(small.drop("n"), _NODE, "left_semi"), counts, leaf, types, cosine))
         stuck_at = counts.select(*_NODE)
         rows = placed.join(vectors.select("c", "v"), "c")
 
@@ -200,16 +223,21 @@ def compare(own: pd.DataFrame, dim: int, here: int, across: bool, cosine: float)
     own, c = own.iloc[some], c[some]
     near |= near.T
     if across:
-        near &= own["b"].to_numpy()[:, None] != own["b"].to_numpy()[None, :]
-    i, j = np.nonzero(np.triu(near))
+        block = own["b"].to_numpy()
+        near &= block[:, None] != block[None, :]
     links = np.zeros(len(own), np.int64)
-    if len(i):
-        leaves = [np.frombuffer(x, ">i8") for x in own["leaves"]]
+    copies = own["copies"].to_numpy()
+    leaves = [x[: np.searchsorted(x, here)] for x in (np.frombuffer(x, ">i8") for x in own["leaves"])]
+    if not any(map(len, leaves)):  # nothing comes before this leaf
+        for k in range(0, len(own), 1024):
+            links[k : k + 1024] = near[k : k + 1024] @ copies
+    else:
+        i, j = np.nonzero(np.triu(near))
         codes = np.full((len(own), max(map(len, leaves))), -1, np.int64)
         for k, x in enumerate(leaves):
             codes[k, : len(x)] = x
         first = _first_meeting(codes, i, j, here)
-        i, j, copies = i[first], j[first], own["copies"].to_numpy()
+        i, j = i[first], j[first]
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
     root = _components(near) if near.any() else np.arange(len(own))
@@ -217,6 +245,32 @@ def compare(own: pd.DataFrame, dim: int, here: int, across: bool, cosine: float)
     return pd.DataFrame({"c": c[keep], "links": links[keep], "root": c[root[keep]]})
 
 
+def _in_blocks(dealt: DataFrame, ids: DataFrame, large: DataFrame, leaf: int) -> DataFrame:
+    """``dealt`` with the block b and the pair of blocks (x, y) of each row: all 0 but in the ``large`` leaves.
+
+    Members of a large leaf that share the earlier large leaf with most of its members have met there:
+    their blocks are numbered from -1 down and meet only those of the others, from 1 up.
+    """
+    key = ["label", "dim", "leaf"]
+    member = checkpoint(ids.join(F.broadcast(large), key).select(*key, "c"))
+    before = member.select("c", F.col("leaf").alias("earlier"))
+    shared = member.join(before, "c").filter("earlier < leaf").groupBy(*key, "earlier").count()
+    main = checkpoint(shared.groupBy(*key).agg(F.max_by("earlier", F.struct("count", "earlier")).alias("earlier")))
+    met = member.join(F.broadcast(main), key).join(before, ["c", "earlier"], "left_semi").select(*key, "c", F.lit(True).alias("met"))
+    member = checkpoint(member.join(met, [*key, "c"], "left").withColumn("met", F.coalesce("met", F.lit(False))))
+    count = lambda own: F.ceil(F.count(F.when(own, 1)) / leaf).cast("int")
+    blocks = checkpoint(member.groupBy(*key).agg(count(~F.col("met")).alias("new"), count(F.col("met")).alias("old")))
+    place = F.pmod(F.xxhash64("c"), F.when(F.col("met"), F.col("old")).otherwise(F.col("new"))).cast("int") + 1
+    placed = member.join(F.broadcast(blocks), key).withColumn("b", F.when(F.col("met"), -place).otherwise(place))
+    # a new block meets all blocks and itself, an old one the new ones; a block 0 doesn't exist
+    up = F.when(F.col("new") > 0, F.sequence(F.lit(1), F.col("new"))).otherwise(F.array().cast("array<int>"))
+    down = F.when(F.col("old") > 0, F.sequence(-F.col("old"), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    pairs = F.explode(F.when(F.col("met"), up).otherwise(F.concat(up, down)))
+    placed = placed.withColumn("o", pairs).select(*key, "c", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
+    small = dealt.join(F.broadcast(large), key, "left_anti").withColumns({"b": F.lit(0), "x": F.lit(0), "y": F.lit(0)})
+    return small.unionByName(dealt.join(placed, [*key, "c"]))
+
+
 def near_duplicates(rows: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per row: vec_id, n_links (other vectors linked directly), component_id and kept.
 
@@ -235,10 +289,10 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, trees: int = TREES,
     kinds = ", ".join(f"{n} {'binary' if n == 'v' else k}" for n, k in classes.dtypes)
     classes = checkpoint(classes.mapInPandas(_packed, kinds))
     vectors = classes.select("label", "dim", "c", "v")
-    leaves = checkpoint(forest(vectors, trees, leaf))
+    leaves = checkpoint(forest(vectors, trees, leaf, cosine))
     ids = leaves.withColumn("leaf", F.col("tree").cast("long") * (1 << 57) + F.col("node"))
-    sizes = ids.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * leaf)
-    split = checkpoint(sizes.select("label", "dim", "leaf", F.ceil(F.col("n") / leaf).cast("int").alias("blocks")))
+    sizes = ids.groupBy("label", "dim", "leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WHOLE * leaf)
+    split = checkpoint(sizes.select("label", "dim", "leaf"))
     # the list as bytes too, big end first: most vectors have no link, and then nobody looks at it
     packed = F.unhex(F.array_join(F.transform("all", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
     listed = checkpoint(ids.groupBy("c").agg(F.array_sort(F.collect_list("leaf")).alias("all")).withColumn("leaves", packed))
@@ -246,9 +300,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, trees: int = TREES,
     if split.isEmpty():
         dealt = dealt.withColumns({"b": F.lit(0), "x": F.lit(0), "y": F.lit(0)})
     else:
-        dealt = dealt.join(split, ["label", "dim", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        dealt = dealt.withColumn("b", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumns({"x": F.least("b", "o"), "y": F.greatest("b", "o")}).drop("o", "blocks")
+        dealt = _in_blocks(dealt, ids, split, leaf)
 
     def compared(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         return compare(own, int(key[1]), int(key[2]), key[3] != key[4], cosine)

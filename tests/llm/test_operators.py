@@ -463,6 +463,21 @@ def test_crowd_that_no_split_tells_apart(spark):
     assert {r.n_links for r in got} == {129} and {r.component_id for r in got} == {0}
 
 
+def test_dense_group_loses_no_links(spark):
+    """Different vectors at pairwise cosines around 0.96, many times a leaf, beside others."""
+    r = np.random.default_rng(4)
+    x = r.standard_normal((1500, 32))
+    x[:1200] = x[0] + 0.2 * r.standard_normal((1200, 32))
+    table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {row.vec_id: row for row in rptrees.near_duplicates(table, leaf=24).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    found = np.array([got[k].n_links for k in range(1500)])
+    assert near.sum() > 1_000_000 and (found <= near.sum(1)).all() and found.sum() >= 0.999 * near.sum()
+    assert len({got[k].component_id for k in range(1200)}) == 1
+
+
 @pytest.mark.parametrize("n", [5, 120, 1500])
 def test_search_recall(spark, clashing, n):
     x = clouds(2, n)
