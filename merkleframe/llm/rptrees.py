@@ -258,17 +258,22 @@ def _in_blocks(dealt: DataFrame, ids: DataFrame, large: DataFrame, leaf: int) ->
     main = checkpoint(shared.groupBy(*key).agg(F.max_by("earlier", F.struct("count", "earlier")).alias("earlier")))
     met = member.join(F.broadcast(main), key).join(before, ["c", "earlier"], "left_semi").select(*key, "c", F.lit(True).alias("met"))
     member = checkpoint(member.join(met, [*key, "c"], "left").withColumn("met", F.coalesce("met", F.lit(False))))
+    placed = paired_blocks(member, key, leaf)
+    small = dealt.join(F.broadcast(large), key, "left_anti").withColumns({"b": F.lit(0), "x": F.lit(0), "y": F.lit(0)})
+    return small.unionByName(dealt.join(placed, [*key, "c"]))
+
+
+def paired_blocks(member: DataFrame, key: list[str], leaf: int) -> DataFrame:
+    """``member`` (key, c, met), in each pair (x, y) of blocks of about ``leaf`` that its block b takes part in: all pairs but those of two that have met."""
     count = lambda own: F.ceil(F.count(F.when(own, 1)) / leaf).cast("int")
     blocks = checkpoint(member.groupBy(*key).agg(count(~F.col("met")).alias("new"), count(F.col("met")).alias("old")))
     place = F.pmod(F.xxhash64("c"), F.when(F.col("met"), F.col("old")).otherwise(F.col("new"))).cast("int") + 1
-    placed = member.join(F.broadcast(blocks), key).withColumn("b", F.when(F.col("met"), -place).otherwise(place))
+    placed = member.join(blocks, key).withColumn("b", F.when(F.col("met"), -place).otherwise(place))
     # a new block meets all blocks and itself, an old one the new ones; a block 0 doesn't exist
     up = F.when(F.col("new") > 0, F.sequence(F.lit(1), F.col("new"))).otherwise(F.array().cast("array<int>"))
     down = F.when(F.col("old") > 0, F.sequence(-F.col("old"), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     pairs = F.explode(F.when(F.col("met"), up).otherwise(F.concat(up, down)))
-    placed = placed.withColumn("o", pairs).select(*key, "c", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
-    small = dealt.join(F.broadcast(large), key, "left_anti").withColumns({"b": F.lit(0), "x": F.lit(0), "y": F.lit(0)})
-    return small.unionByName(dealt.join(placed, [*key, "c"]))
+    return placed.withColumn("o", pairs).select(*key, "c", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
 
 
 def near_duplicates(rows: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:

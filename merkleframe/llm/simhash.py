@@ -130,11 +130,21 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket
     It is the one with the least id (null ones last), of equal ids the one with the least hash of its
     text, and any one of rows that are alike in both.
     """
-    last = F.lit((1 << 63) - 1)
-    key = {"d": F.coalesce(F.col(doc_id).cast("long"), last), "h": F.coalesce(F.xxhash64(text), last)}
+    key = row_keys(doc_id, text)
     prints = checkpoint(docs.select(key["d"].alias("d"), key["h"].alias("h"), fingerprint(F.col(text)).alias("fp")))
     firsts = prints.groupBy("fp").agg(F.min(F.struct("d", "h")).alias("first"))
     kept = _rooted(prints, bucket_bound).join(firsts, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.d", "first.h")
+    return rows_of(docs, key, prints, kept)
+
+
+def row_keys(doc_id: str, text: str) -> dict[str, Column]:
+    """What rows are told apart by: the id (null ones last) and a hash of the text."""
+    last = F.lit((1 << 63) - 1)
+    return {"d": F.coalesce(F.col(doc_id).cast("long"), last), "h": F.coalesce(F.xxhash64(text), last)}
+
+
+def rows_of(docs: DataFrame, key: dict[str, Column], prints: DataFrame, kept: DataFrame) -> DataFrame:
+    """A row of ``docs`` for each key (d, h) of ``kept``; ``prints`` has the keys of all rows."""
     counted = checkpoint(prints.join(kept, ["d", "h"]).groupBy("d", "h").count())
     rows = docs.select(key["d"].alias("d"), key["h"].alias("h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     out = rows.join(counted.filter("count = 1"), ["d", "h"], "left_semi").select("row.*")

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from merkleframe.llm import simhash
+from merkleframe.llm import similar, simhash
 
 from .conftest import DOCUMENTS, SF
 
@@ -58,6 +58,21 @@ def test_stages(spark, tables):
     assert {r.doc_id for r in docs.collect()} == set(kept["near_dedup"])
 
 
+def test_near_dedup_goes_by_similarity(spark, monkeypatch):
+    monkeypatch.setattr(similar, "CROWD", 6)
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    r = random.Random(2)
+    words = lambda n: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    changed = lambda base, *at: " ".join("changed" if k in at else w for k, w in enumerate(base))
+    a, b, c = words(300), words(300), words(300)
+    texts = [changed(a), changed(a, 150), changed(a, 20, 150, 280), changed(a, 50, 90, 130, 170, 210)]  # similarities 0.97, 0.9 and 0.85 to the first
+    texts += [changed(b), changed(b, *range(10, 100, 10))]  # 0.74
+    texts += [changed(c, k) for k in range(40)] + [None, "", "a b"]
+    table = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCUMENTS)
+    kept = sorted(row.doc_id for row in corpus_pipeline.near_dedup(spark, table, "").collect())
+    assert kept == [0, 4, 5, 6, 46, 48]
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
