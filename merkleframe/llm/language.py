@@ -159,6 +159,12 @@ class Model:
     def _without(self, x: np.ndarray) -> np.ndarray:
         return x - (x @ self.mean)[:, None] * self.mean
 
+    def likeness(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The cosine of each text with each language before the mean is taken out, the length class (log2 of the letters) and the place of the predicted language."""
+        bundles, letters = _trigrams(self.sums.shape[1]).bundles(texts)
+        best = (_units(self._without(bundles)) @ self.prototypes.T).argmax(1)
+        return _units(bundles) @ _units(self.sums.astype(np.float32)).T, np.log2(np.maximum(1, letters)).astype(int), np.where(letters > 0, best, -1)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         bundles, letters = _trigrams(self.sums.shape[1]).bundles(texts)
         if not self.names:
@@ -195,6 +201,52 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     return Model([r.l for r in found], np.array([r.x for r in found]).reshape(len(found), dimensions))
 
 
+#: Length classes, the texts of a language that a limit needs, and its distance below their median, in standard deviations.
+LENGTHS, ENOUGH, BELOW = 40, 20, 6.0
+
+
+def limits(model: Model, docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> np.ndarray:
+    """The least cosine (language, length class) of a text in a learned language, from the texts that learn() takes.
+
+    It lies BELOW robust deviations under their median. A class with few texts has the limit of the next
+    shorter one that has enough (or else of the next longer one); a language without any takes 0.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("t is not null and l is not null")
+    rows = bounded_sample(rows, "l", per_language, "d", "t")
+    names, sums = model.names, model.sums
+
+    def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Model(names, sums)
+        place = {n: k for k, n in enumerate(names)}
+        for frame in frames:
+            if len(frame):
+                near, length, best = own.likeness(frame["t"].tolist())
+                at = frame["l"].map(place).to_numpy()
+                out = pd.DataFrame({"l": at, "n": length, "x": near[np.arange(len(at)), at].astype(float)})
+                yield out[best >= 0]
+
+    stats = rows.select("t", "l").mapInPandas(measured, "l int, n int, x double").groupBy("l", "n").agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("x", [0.25, 0.5], 10000).alias("q"))
+    out = np.full((len(names), LENGTHS), np.nan)
+    for r in stats.filter(F.col("rows") >= ENOUGH).collect():
+        out[r.l, min(r.n, LENGTHS - 1)] = r.q[1] - BELOW * (r.q[1] - r.q[0]) / 0.6745
+    return np.maximum(0, pd.DataFrame(out.T).ffill().bfill().fillna(0).to_numpy().T)
+
+
+def recognised(model: Model, least: np.ndarray, text: Column) -> Column:
+    """Whether a text has letters and is as like its predicted language as limits() asks."""
+    names, sums = json.dumps(model.names), model.sums
+    cache: list[Model] = []
+
+    @F.pandas_udf("boolean")
+    def of(texts: pd.Series) -> pd.Series:
+        if not cache:
+            cache.append(Model(json.loads(names), sums))
+        near, length, best = cache[0].likeness(texts.tolist())
+        return pd.Series((best >= 0) & (near[np.arange(len(best)), best] >= least[best, np.minimum(length, LENGTHS - 1)]) & (near.max(1) > 0), dtype=bool)
+
+    return of(text)
+
+
 def predicted(model: Model, text: Column) -> Column:
     """A struct of lang_pred and score of each whole text; ``und`` and 0 if it is null or has no letter."""
     names, sums = json.dumps(model.names), model.sums

@@ -58,6 +58,14 @@ def test_stages(spark, tables):
     assert {r.doc_id for r in docs.collect()} == set(kept["near_dedup"])
 
 
+def test_unlearned_language_goes(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    r = random.Random(3)
+    other = [(700 + k, " ".join("".join(r.choice(["ució", "qal", "oxu", "vyk"]) for _ in range(2)) for _ in range(60)), None, "s", 0) for k in range(3)]
+    kept = {row.doc_id for row in corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(other, DOCUMENTS)), tables).collect()}
+    assert not {700, 701, 702} & kept and len(kept) == 243
+
+
 def test_near_dedup_goes_by_similarity(spark, monkeypatch):
     monkeypatch.setattr(similar, "CROWD", 6)
     monkeypatch.setattr(similar, "BLOCK", 8)
