@@ -201,14 +201,14 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     return Model([r.l for r in found], np.array([r.x for r in found]).reshape(len(found), dimensions))
 
 
-#: Length classes, the texts of a language that a limit needs, and its distance below their median, in standard deviations.
-LENGTHS, ENOUGH, BELOW = 40, 20, 6.0
+#: Length classes, the texts of a language that a limit needs, the share of them under it, and its least distance below their median, in standard deviations.
+LENGTHS, ENOUGH, UNDER, BELOW = 40, 20, 0.001, 6.0
 
 
 def limits(model: Model, docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> np.ndarray:
     """The least cosine (language, length class) of a text in a learned language, from the texts that learn() takes.
 
-    It lies BELOW robust deviations under their median. A class with few texts has the limit of the next
+    A share UNDER of them at most lies below it, and it is BELOW robust deviations under their median or further, so odd texts of a language (tables, repetitions) stay too. A class with few texts has the limit of the next
     shorter one that has enough (or else of the next longer one); a language without any takes 0.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter("t is not null and l is not null")
@@ -225,10 +225,10 @@ def limits(model: Model, docs: DataFrame, text: str = "text", lang: str = "lang"
                 out = pd.DataFrame({"l": at, "n": length, "x": near[np.arange(len(at)), at].astype(float)})
                 yield out[best >= 0]
 
-    stats = rows.select("t", "l").mapInPandas(measured, "l int, n int, x double").groupBy("l", "n").agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("x", [0.25, 0.5], 10000).alias("q"))
+    stats = rows.select("t", "l").mapInPandas(measured, "l int, n int, x double").groupBy("l", "n").agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("x", [UNDER, 0.25, 0.5], 10000).alias("q"))
     out = np.full((len(names), LENGTHS), np.nan)
     for r in stats.filter(F.col("rows") >= ENOUGH).collect():
-        out[r.l, min(r.n, LENGTHS - 1)] = r.q[1] - BELOW * (r.q[1] - r.q[0]) / 0.6745
+        out[r.l, min(r.n, LENGTHS - 1)] = min(r.q[0], r.q[2] - BELOW * (r.q[2] - r.q[1]) / 0.6745)
     return np.maximum(0, pd.DataFrame(out.T).ffill().bfill().fillna(0).to_numpy().T)
 
 
