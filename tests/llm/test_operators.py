@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -220,7 +221,7 @@ def test_simple8b_packs():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "\t", "é", "ß", "中", "'s", "1", "!", "<|endoftext|>", "\x1c", "\xa0", "don't", ".", "x.\ny", "🙂"]), max_size=14).map("".join))
+@given(st.lists(st.sampled_from(["a", "the", " ", "  ", "   ", "\n", "\n\n\n", "\t", "é", "ß", "×", "中", "\u3000", "\u2003", "'s", "1", "!", "<|endoftext|>", "\x1c", "\xa0", "don't", ".", "x.\ny", "🙂", "l" * 30]), max_size=14).map("".join))
 def test_word_tokenizer_equals_library(text):
     own = tokenids._tokenizer(tokenizer_path("byte_bpe_50k.json"))
     assert np.frombuffer(own([text])[0], "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids
@@ -244,12 +245,52 @@ def test_token_files(spark, docs, clashing):
     assert tokenids.token_ids(docs(), path, 2).count() == 0
 
 
-def test_marks_lead_into_a_block(spark):
-    ids = np.random.default_rng(1).integers(0, 50000, 5000).astype("<u4")
-    block = tokenids._block(0, 0, 0, [1], [ids.tobytes()])
-    words = np.frombuffer(block["words"], "<u8")
-    for k, (word, within) in enumerate(np.frombuffer(block["marks"], "<u4").reshape(-1, 2).tolist()):
-        assert tokenids.simple8b_decode(words[word:], within + 1)[within] == ids[k * tokenids.MARK]
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**31), min_size=1, max_size=40), st.integers(0, 4000), st.integers(0, 4000))
+def test_marks_lead_into_a_block(values, a, b):
+    ids = np.resize(np.array(values, np.uint64) % 50_000, 4000)
+    row = tokenids.block(0, 0, 0, pa.array([1]), np.array([len(ids)]), ids)
+    a, b = min(a, b), max(a, b)
+    assert (tokenids.ids_between(row["words"], row["marks"], a, b) == ids[a:b]).all()
+
+
+def test_marks_lead_past_escapes():
+    ids = np.array([1 << 63, 5] * 3000, np.uint64)
+    row = tokenids.block(0, 0, 0, pa.array([1]), np.array([len(ids)]), ids)
+    for a, b in ((0, 6000), (1023, 1025), (2047, 2049), (5999, 6000), (7, 7), (1024, 2048)):
+        assert (tokenids.ids_between(row["words"], row["marks"], a, b) == ids[a:b]).all()
+
+
+def test_read_documents(spark, docs, tmp_path):
+    path = tokenizer_path("byte_bpe_50k.json")
+    table = docs("one text", "another", "x " * 5000, None, "one text", ids=[4, 7, 9, None, 4])
+    tokenids.write_token_files(table, str(tmp_path / "t"), path, 2, block_ids=100)
+    every = tokenids.read_token_files(spark, str(tmp_path / "t"))
+    got = tokenids.read_documents(spark, str(tmp_path / "t"), spark.createDataFrame([(4,), (9,), (9,), (5,)], "doc_id long"))
+    assert sorted((r.doc_id, bytes(r.ids)) for r in got.collect()) == sorted((r.doc_id, bytes(r.ids)) for r in every.collect() if r.doc_id in (4, 9))
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(tokenids, "_CHUNK", 50)
+    own = tokenids._tokenizer(tokenizer_path("byte_bpe_50k.json"))
+    texts = ["", "the cat,  sat\n on the 中 mat. " * 20, "x", "", "y" * 300, "it's é " * 50, ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_memory_is_renewed():
+    path = tokenizer_path("byte_bpe_50k.json")
+    own = tokenids.WordTokenizer(path, memo=40)
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        texts = [" ".join("".join(r.choice(list("abcé.,1中"), 5)) for _ in range(30)) + " the end" for _ in range(3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokens_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(tokenids._Table, "hashed", staticmethod(lambda keys, kinds: (keys[:, 0] >> np.uint64(9)) % np.uint64(3)))
+    own = tokenids.WordTokenizer(tokenizer_path("byte_bpe_50k.json"))
+    for text in ("one two three four five six, seven", "seven eight one nine; nine 9 nine"):
+        assert np.frombuffer(own([text])[0], "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids
 
 
 # pieces
