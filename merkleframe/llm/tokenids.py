@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint_folder
+from .common import checkpoint, checkpoint_folder
 
 #: (count, width) of selectors 1 to 14. Selector 0 is the escape.
 PACKINGS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -41,19 +41,19 @@ BLOCK_IDS = 1 << 16
 #: Tokens whose ids are remembered within a worker, about 70 bytes each.
 MEMO = 1_000_000
 
+#: Files whose starts (16 bytes each) may be broadcast.
+BROADCAST_PARTS = 1 << 17
+
 _WIDTHS = np.array([w for _, w in PACKINGS])
 _ESCAPE = len(PACKINGS)  # width class of values over 60 bits
 
 
-def simple8b_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, index of the word that each chosen packing starts at and its first value) of unsigned values.
-
-    Returns the words and, for each packing, the index of its first value.
-    """
+def simple8b_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of unsigned values and, for each packing, the index of its first value and of its (first) word."""
     v = np.ascontiguousarray(values, dtype=np.uint64)
     n = len(v)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     top = int(v.max())
     small = v.astype(np.int64) if top < 1 << 62 else None
     if top < 1 << 20:
@@ -93,7 +93,7 @@ def simple8b_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             words[place[own]] = packed
     raw = np.flatnonzero(count == 0)
     words[place[raw] + 1] = v[first[raw]]
-    return words, first
+    return words, first, place
 
 
 _CLASSES: list[np.ndarray] = []
@@ -411,10 +411,10 @@ def _bytes_of(texts: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
 
 def block(part: int, number: int, start: int, doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> dict:
     """A row of a file."""
-    words, first = simple8b_encode(ids)
+    words, first, place = simple8b_encode(ids)
     marked = np.arange(0, len(ids), MARK)
     pack = np.searchsorted(first, marked, side="right") - 1
-    marks = np.stack([pack, marked - first[pack]], axis=1).astype("<u4") if len(ids) else np.zeros((0, 2), "<u4")
+    marks = np.stack([place[pack], marked - first[pack]], axis=1).astype("<u4") if len(ids) else np.zeros((0, 2), "<u4")
     return {
         "part": part, "block": number, "start": start, "n_ids": len(ids), "doc_ids": doc_ids, "counts": pa.array(counts, pa.int64()),
         "words": words.astype("<u8").tobytes(), "marks": marks.tobytes(),
@@ -526,7 +526,10 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(list(map(bytes, pieces)), pa.binary())] * with_ids, named + ["ids"] * with_ids)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return files.join(_starts(files), "part").select("before", "start", "n_ids", "doc_ids", "counts", "words").mapInArrow(unpacked, schema)
+    starts = checkpoint(_starts(files))
+    if starts.count() <= BROADCAST_PARTS:  # so that no block moves
+        starts = F.broadcast(starts)
+    return files.join(starts, "part").select("before", "start", "n_ids", "doc_ids", "counts", "words").mapInArrow(unpacked, schema)
 
 
 def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:

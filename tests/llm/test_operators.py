@@ -210,7 +210,7 @@ def test_near_duplicates_and_keep_one(spark, docs, clashing):
 @given(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 70000) | st.just(0), max_size=200))
 def test_simple8b_round_trip(values):
     v = np.array(values, dtype=np.uint64)
-    words, first = tokenids.simple8b_encode(v)
+    words, first, _ = tokenids.simple8b_encode(v)
     assert (tokenids.simple8b_decode(words, len(v)) == v).all()
     assert len(first) == 0 or (first[0] == 0 and (np.diff(first) > 0).all())
 
