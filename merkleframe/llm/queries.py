@@ -113,22 +113,24 @@ def op10_piece_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-#: Brute force over all pairs of a label.
+#: Brute force over all pairs of a label; rows count as vectors of their own.
 OP1_SQL = """
-WITH RECURSIVE usable AS (
-  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+WITH RECURSIVE numbered AS (SELECT vec_id, label, embedding, row_number() OVER () AS r FROM embeddings),
+usable AS (
+  SELECT r, label, embedding::DOUBLE[] AS v FROM numbered
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
-  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b
+  ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
   WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
 reached AS (
-  SELECT vec_id, vec_id AS other FROM embeddings
-  UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other),
-component AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id)
-SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
-FROM embeddings e JOIN component c USING (vec_id)
+  SELECT r, r AS other FROM numbered
+  UNION SELECT r.r, l.b FROM reached r JOIN links l ON l.a = r.other),
+component AS (SELECT reached.r, min(n.vec_id) AS component_id FROM reached JOIN numbered n ON n.r = reached.other GROUP BY reached.r),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(l.n, 0) AS n_links, c.component_id, e.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM numbered e JOIN component c USING (r) LEFT JOIN counted l ON l.a = e.r
 """
 
 QUERIES = {

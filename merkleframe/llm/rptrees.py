@@ -172,6 +172,9 @@ def forest(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, cosine: flo
         if stuck_at is not None:  # a node that kept its place can't be split
             counts = counts.join(stuck_at, _NODE, "left_anti")
         counts = checkpoint(counts)
+        if settled is None:  # a label that isn't split has the same leaf in all trees
+            placed = placed.join(counts.filter("tree = 0").select("label", "dim").withColumn("splits", F.lit(True)), ["label", "dim"], "left")
+            placed = placed.filter("tree = 0 or splits").select(*_NODE, "c")
         if counts.isEmpty():
             return placed if settled is None else settled.unionByName(placed)
         small = F.broadcast(counts) if counts.count() <= BROADCAST_NODES else counts
@@ -282,17 +285,19 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, trees: int = TREES,
     Vectors link at a cosine of at least ``cosine`` in double precision, if their labels are equal and
     not null and they have equally many components. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, and neither do rows with a null id: they are their own
-    component. Repeated rows are vectors like any other. An empty table gives no rows.
+    component. Rows are vectors of their own, whatever their ids: repeated rows link with each other, and
+    rows of one id need not. An empty table gives no rows.
     """
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.col(label).alias("label"))
     fit = F.coalesce(usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     # equal vectors of a label: 128 bits of their hash
     marked = rows.select("vec_id", "label", "v", fit.alias("fit"), F.xxhash64("label", "v").alias("k1"), F.xxhash64(F.lit(1), "v", "label").alias("k2"))
     members = checkpoint(marked.select("vec_id", "fit", "k1", "k2"))
-    classes = marked.filter("fit").groupBy("k1", "k2").agg(F.min("vec_id").alias("c"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"), F.first("label").alias("label"))
+    classes = marked.filter("fit").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"), F.first("label").alias("label"))
     classes = classes.withColumn("dim", F.size("v")).withColumn("v", F.col("v").cast("array<double>"))
     kinds = ", ".join(f"{n} {'binary' if n == 'v' else k}" for n, k in classes.dtypes)
-    classes = checkpoint(classes.mapInPandas(_packed, kinds))
+    # ids may repeat, so a class has a number of its own, which the checkpoint keeps as it is
+    classes = checkpoint(classes.mapInPandas(_packed, kinds).withColumn("c", F.monotonically_increasing_id()))
     vectors = classes.select("label", "dim", "c", "v")
     leaves = checkpoint(forest(vectors, trees, leaf, cosine))
     ids = leaves.withColumn("leaf", F.col("tree").cast("long") * (1 << 57) + F.col("node"))
@@ -301,7 +306,8 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, trees: int = TREES,
     # the list as bytes too, big end first: most vectors have no link, and then nobody looks at it
     packed = F.unhex(F.array_join(F.transform("all", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
     listed = checkpoint(ids.groupBy("c").agg(F.array_sort(F.collect_list("leaf")).alias("all")).withColumn("leaves", packed))
-    dealt = classes.join(listed, "c").select("label", "dim", "c", "v", "copies", "leaves", F.explode("all").alias("leaf"))
+    dealt = classes.join(listed, "c").select("label", "dim", "c", "v", "copies", "leaves", F.posexplode("all").alias("at", "leaf"))
+    dealt = dealt.withColumn("leaves", F.expr("substring(leaves, 1, 8 * at)")).drop("at")  # those before this one
     if split.isEmpty():
         dealt = dealt.withColumns({"b": F.lit(0), "x": F.lit(0), "y": F.lit(0)})
     else:
@@ -313,8 +319,11 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, trees: int = TREES,
     found = checkpoint(dealt.groupBy("label", "dim", "leaf", "x", "y").applyInPandas(compared, "c long, links long, root long"))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     roots = connected_components(found.filter("c <> root").select(F.col("c").alias("u"), F.col("root").alias("v")))
-    named = classes.select("k1", "k2", "c", "copies").join(links, "c", "left").join(roots.withColumnRenamed("node", "c"), "c", "left")
-    named = named.select("k1", "k2", F.lit(True).alias("fit"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "c").alias("component_id"))
+    rooted = checkpoint(roots.withColumnRenamed("node", "c").join(classes.select("c", "least"), "c"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = rooted.join(least, "root").select("c", "component_id")
+    named = classes.select("k1", "k2", "c", "least", "copies").join(links, "c", "left").join(rooted, "c", "left")
+    named = named.select("k1", "k2", F.lit(True).alias("fit"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     out = members.join(named, ["k1", "k2", "fit"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 
 from merkleframe.llm import language, linedup, neighbours, packing, rptrees, sharding, simhash, tokenids, toxicity
 from merkleframe.llm.pieces import PieceEncoder, decode_pieces, encode_pieces, round_trip_digests
-from merkleframe.llm.queries import tokenizer_path
+from merkleframe.llm.queries import OP1_SQL, tokenizer_path
 
 LONG = "lorem ipsum dolor sit amet " * 4000
 ODD = [None, "", " \n\t ", "a", "a b", "a b c", "A B C", "a b c", "é ß 中文 \x00 🙂", LONG, LONG]
@@ -519,6 +519,35 @@ def test_dense_group_loses_no_links(spark):
     assert len({got[k].component_id for k in range(1200)}) == 1
 
 
+def test_rows_of_one_id_equal_sql(spark, tmp_path):
+    import duckdb
+
+    a, b, c = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0], [0.0, 0.0, -1.0]
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(1, a, 0), (1, b, 0), (2, near(a), 0), (3, near(b), 0), (4, c, 0), (4, c, 1), (4, c, 1), (5, near(c), 1), (None, a, 0), (None, None, None), (6, a, 0), (6, a, 0), (7, None, 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    table.write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/e/*.parquet'")
+    expected = con.sql(f"select vec_id, n_links, component_id, kept from ({OP1_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, rptrees.near_duplicates(table).collect()))) == sorted(map(str, expected))
+
+
+def test_forest_that_splits_equals_brute_force(spark):
+    """One label with many times a leaf, at the shipped parameters."""
+    n = 10_000
+    r = np.random.default_rng(8)
+    x = (r.standard_normal((n // 8, 32))[r.integers(0, n // 8, n)] + 0.18 * r.standard_normal((n, 32))).astype(np.float32)
+    table = spark.createDataFrame([(k, v, 1) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int").repartition(8)
+    found = np.zeros(n, int)
+    for row in rptrees.near_duplicates(table).collect():
+        found[row.vec_id] = row.n_links
+    x = x.astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.93).sum(1) - 1
+    assert (found <= true).all() and found.sum() >= 0.998 * true.sum() and true.sum() > 3 * n
+
+
 @pytest.mark.parametrize("n", [5, 120, 1500])
 def test_search_recall(spark, clashing, n):
     x = clouds(2, n)
