@@ -2,13 +2,16 @@
 
 Pieces never have a meta symbol after another character, so words (runs of meta symbols with what
 follows) are encoded on their own and each different word once. The new words of a batch lie as symbols
-in one flat array. Each round finds every word's best pair with a segmented minimum over the ranks of
-its pairs, merges it at the leftmost place in all words at once, and takes out words without a pair.
-
-A rank's later occurrences in a word are merged in the same round where that can't change the result:
-when no piece that contains the merged piece at an end ranks before it, no merge can come in between,
-so the library's queue would take them one after the other. Ranks that several pieces share (runs of
-meta symbols) and the other pieces are merged one place a round.
+in one flat array, cut further wherever no piece holds the two neighbouring characters. Each round finds
+every stretch's best pair with a segmented minimum over the ranks of its pairs, merges it at the leftmost
+place in all stretches at once, and takes out those without a pair.
+
+A rank's later occurrences in a stretch are merged in the same round where that can't change the result:
+when no piece that contains the merged piece at an end ranks before it, no merge can come in between, so
+the library's queue would take them one after the other. Where there is such a piece, what may come in
+between stays within characters that better pieces hold side by side, so the first place after a pair of
+neighbours that no better piece holds is merged too. Runs of meta symbols, whose pieces all rank last and
+alike, are merged at the end, from the left.
 """
 
 from __future__ import annotations
@@ -28,10 +31,41 @@ META = "▁"
 _NEVER = np.iinfo(np.int32).max
 #: Words whose ids are remembered within a worker.
 MEMO = 600_000
+#: Characters of the longest word that is remembered.
+KEPT = 256
 #: Symbols that are merged at once, so that memory stays bounded.
 _FLAT = 1 << 20
 
 
+class _Ranks:
+    """Ranks by pairs of symbols, in an open-addressing hash table."""
+
+    def __init__(self, keys: np.ndarray, ranks: np.ndarray):
+        self.keys, self.ranks = np.append(keys, -1), np.append(ranks, np.int32(_NEVER))
+        self.shift = np.uint64(64 - (16 * len(keys)).bit_length())
+        self.slots = np.full(1 << (64 - int(self.shift)), len(keys), np.int32)
+        entry, slot = np.arange(len(keys), dtype=np.int32), self._slots(keys)
+        while len(entry):
+            free = self.slots[slot] == len(keys)
+            self.slots[slot[free]] = entry[free]
+            lost = self.slots[slot] != entry
+            entry, slot = entry[lost], (slot[lost] + 1) % len(self.slots)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each key and its place, _NEVER and the last place where there is none."""
+        slot = self._slots(wanted)
+        out = self.slots[slot]
+        todo = np.flatnonzero((self.keys[out] != wanted) & (out < len(self.keys) - 1))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) % len(self.slots)
+            out[todo] = self.slots[slot[todo]]
+            todo = todo[(self.keys[out[todo]] != wanted[todo]) & (out[todo] < len(self.keys) - 1)]
+        return self.ranks[out], out
+
+
 class PieceEncoder:
     """Encodes as the library does with the same model: normalised by it, BPE, byte fallback, no sampling."""
 
@@ -55,10 +89,14 @@ class PieceEncoder:
         for c in sorted({c for p in self.symbol for c in p} - self.symbol.keys()):
             self.symbol[c] = size + len(self.symbol)
         self.n_pieces, self.other = size, 2 * size + len(self.symbol) + 1
-        order = sorted({-sp.get_score(k) for p, k in self.symbol.items() if k < size and len(p) > 1})
-        place = {s: r for r, s in enumerate(order)}
+        self.of_character = np.full(0x110000, self.other, np.int64)
+        for p, k in self.symbol.items():
+            if len(p) == 1:
+                self.of_character[ord(p)] = k
+        order_of = sorted({-sp.get_score(k) for p, k in self.symbol.items() if k < size and len(p) > 1})
+        place = {s: r for r, s in enumerate(order_of)}
         rank_of = {p: place[-sp.get_score(k)] for p, k in self.symbol.items() if k < size and len(p) > 1}
-        shared = np.bincount(list(rank_of.values()), minlength=len(order)) > 1
+        shared = np.bincount(list(rank_of.values()), minlength=len(order_of)) > 1
         keys, ranks, results = [], [], []
         once = {p for p, r in rank_of.items() if shared[r]}
         for p, r in rank_of.items():
@@ -69,75 +107,111 @@ class PieceEncoder:
                     ranks.append(r)
                     results.append(self.symbol[p])
                     once.update(x for x in (p[:cut], p[cut:]) if rank_of.get(x, -1) > r)
-        by = np.argsort(np.array(keys, np.int64))
-        self.keys = np.array(keys, np.int64)[by]
-        self.ranks = np.array(ranks, np.int32)[by]
-        self.results = np.array(results, np.int64)[by]
+        self.pieces = _Ranks(np.array(keys, np.int64), np.array(ranks, np.int32))
+        self.results = np.array([*results, 0], np.int64)
         self.one_by_one = np.zeros(self.other + 1, bool)
         self.one_by_one[[self.symbol[p] for p in once]] = True
+        # the best rank of the pieces that hold two characters side by side
+        beside: dict[int, int] = {}
+        for p, r in rank_of.items():
+            for x, y in zip(p, p[1:]):
+                key = self.symbol[x] * self.other + self.symbol[y]
+                beside[key] = min(r, beside.get(key, r))
+        self.beside = _Ranks(np.array(list(beside), np.int64), np.array(list(beside.values()), np.int32))
+        # runs of meta symbols: their pieces alone rank last, and no other piece begins with two
+        runs = {len(p): self.symbol[p] for p in self.symbol if p == META * len(p)}
+        alike = {rank_of[p] for p in rank_of if p == META * len(p)}
+        only = len(alike) == 1 and all((rank_of[p] in alike) == (p == META * len(p)) and (p == META * len(p) or not p.startswith(META * 2)) for p in rank_of)
+        self.runs, self.run_rank = runs, max(alike) if only and max(alike) == len(order_of) - 1 else -1
+
+    def _run(self, n: int) -> np.ndarray:
+        """The symbols of a run of ``n`` meta symbols, merged from the left."""
+        out: list[int] = []
+        for _ in range(n):
+            out.append(1)
+            while len(out) > 1 and out[-2] + out[-1] in self.runs:
+                out[-2:] = [out[-2] + out[-1]]
+        return np.array([self.runs[k] for k in out], np.int64)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left * self.other + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], _NEVER).astype(np.int32), np.where(hit, self.results[at], 0)
-
-    def _merged(self, symbols: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """The final symbols of each word; symbols: those of all words, one after the other."""
-        out: list[np.ndarray] = [symbols[:0]] * len(lengths)
-        names = np.arange(len(lengths))
+        rank, at = self.pieces.find(left * self.other + right)
+        return rank, self.results[at]
+
+    def _merged(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The final symbols of all words and how many each has; symbols: those of all words, one after the other."""
         word = np.repeat(np.arange(len(lengths)), lengths)
+        beside = self.beside.find(symbols[:-1] * self.other + symbols[1:])[0]
+        beside[word[:-1] != word[1:]] = _NEVER
+        owner = word[np.append(0, np.flatnonzero(beside == _NEVER) + 1)] if len(word) else word  # of each stretch
+        word = np.append(0, np.cumsum(beside == _NEVER))[: len(symbols)]
         rank, result = self._pairs(symbols[:-1], symbols[1:])
         rank[word[:-1] != word[1:]] = _NEVER
-        rank, result = np.append(rank, np.int32(_NEVER)), np.append(result, 0)
+        rank, result, beside = np.append(rank, np.int32(_NEVER)), np.append(result, 0), np.append(beside, np.int32(_NEVER))
+        finished: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.minimum.reduceat(rank, starts)
+            for k in np.flatnonzero(best == self.run_rank).tolist():
+                a, b = starts[k], starts[k + 1] if k + 1 < len(starts) else len(symbols)
+                n = int(np.argmax(np.append(symbols[a:b] != self.runs[1], True)))
+                own = np.concatenate([self._run(n), symbols[a + n : b]])
+                finished.append((own, np.full(len(own), word[a])))
             done = best == _NEVER
-            if done.any():
-                ends = np.append(starts[1:], len(symbols))
-                ids = word[starts]
-                for k in np.flatnonzero(done).tolist():
-                    out[names[ids[k]]] = symbols[starts[k] : ends[k]]
-                keep = np.repeat(~done, ends - starts)
-                symbols, word, rank, result = symbols[keep], word[keep], rank[keep], result[keep]
-                best, starts = best[~done], None
+            gone = done | (best == self.run_rank)
+            if gone.any():
+                sizes = np.diff(np.append(starts, len(symbols)))
+                out = np.repeat(done, sizes)
+                finished.append((symbols[out], word[out]))
+                keep = np.repeat(~gone, sizes)
+                symbols, word, rank, result, beside = symbols[keep], word[keep], rank[keep], result[keep], beside[keep]
+                best = best[~gone]
                 if not len(symbols):
                     break
                 starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            sizes = np.diff(np.append(starts, len(symbols)))
-            at = np.flatnonzero(rank == np.repeat(best, sizes))
+            bests = np.repeat(best, np.diff(np.append(starts, len(symbols))))
+            at = np.flatnonzero(rank == bests)
             own = word[at]
             leftmost = np.append(True, own[1:] != own[:-1])
-            # overlapping places alternate from the left; a second place needs a merge that no other can disturb
-            run = np.append(True, (at[1:] != at[:-1] + 1) | leftmost[1:])
-            since = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            at = at[leftmost | (~self.one_by_one[result[at]] & (since % 2 == 0))]
+            if not leftmost.all():
+                # overlapping places alternate from the left; a later place needs a merge that no other can disturb
+                run = np.append(True, (at[1:] != at[:-1] + 1) | leftmost[1:])
+                since = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+                lone = self.one_by_one[result[at]]
+                apart = leftmost.copy()
+                if lone.any():
+                    walls = np.append(0, np.cumsum(beside >= bests))
+                    apart[1:] |= walls[at[1:]] > walls[at[:-1] + 1]
+                at = at[apart | (~lone & (since % 2 == 0))]
             symbols[at] = result[at]
+            beside[at] = beside[at + 1]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
             moved = np.cumsum(keep) - 1
             at = moved[at]
-            symbols, word, rank, result = symbols[keep], word[keep], rank[keep], result[keep]
-            again = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            symbols, word, rank, result, beside = symbols[keep], word[keep], rank[keep], result[keep], beside[keep]
+            touched = np.zeros(len(symbols), bool)
+            touched[at] = touched[at[at > 0] - 1] = True
+            again = np.flatnonzero(touched)
             last = again == len(symbols) - 1
             pair = again[~last]
             r, x = self._pairs(symbols[pair], symbols[pair + 1])
             r[word[pair] != word[pair + 1]] = _NEVER
             rank[pair], result[pair] = r, x
             rank[again[last]] = _NEVER
-        return out
+        if not finished:
+            return symbols, np.zeros(len(lengths), np.int64)
+        flat, stretch = (np.concatenate(x) for x in zip(*finished))
+        order = np.argsort(stretch, kind="stable")
+        return flat[order], np.bincount(owner[stretch], minlength=len(lengths))
 
     def _ids(self, word: str, symbols: np.ndarray) -> bytes:
-        if (symbols < self.n_pieces).all():
-            return symbols.astype("<u4").tobytes()
         out, at = [], 0
         names = self._names
         for s in symbols.tolist():
             if s == self.other:
                 piece = word[at]
             elif s < self.n_pieces:
-                out.append(np.array([s], "<u4").tobytes())
+                out.append(s.to_bytes(4, "little"))
                 at += len(names[s])
                 continue
             else:
@@ -161,10 +235,14 @@ class PieceEncoder:
                 stop += 1
             part = words[start:stop]
             codes = np.frombuffer("".join(part).encode("utf-32-le"), "<u4")
-            distinct, inverse = np.unique(codes, return_inverse=True)
-            table = np.array([self.symbol.get(chr(c), self.other) for c in distinct.tolist()], np.int64)
-            for w, s in zip(part, self._merged(table[inverse], np.array([len(w) for w in part]))):
-                self.memo[w] = self._ids(w, s)
+            symbols, counts = self._merged(self.of_character[codes], np.fromiter(map(len, part), np.int64, len(part)))
+            ends = np.cumsum(counts)
+            odd = np.zeros(len(part), bool)
+            odd[np.searchsorted(ends, np.flatnonzero(symbols >= self.n_pieces), "right")] = True
+            packed, known = symbols.astype("<u4").tobytes(), self.memo
+            known.update(zip(part, [packed[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), counts.tolist())]))
+            for k in np.flatnonzero(odd).tolist():
+                known[part[k]] = self._ids(part[k], symbols[ends[k] - counts[k] : ends[k]])
             start = stop
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -172,9 +250,14 @@ class PieceEncoder:
         split = [self._word.findall(self.library.normalize(t)) for t in texts]
         if len(self.memo) > self.most:
             self.memo = {}
-        self._learn(list(set().union(*split) - self.memo.keys()))
+        new = list(set().union(*split) - self.memo.keys())
+        self._learn(new)
         of = self.memo.__getitem__
-        return [self.bos + b"".join(map(of, w)) + self.eos for w in split]
+        out = [self.bos + b"".join(map(of, w)) + self.eos for w in split]
+        for word in new:
+            if len(word) > KEPT:
+                del self.memo[word]
+        return out
 
     def decode(self, ids: bytes) -> str:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())

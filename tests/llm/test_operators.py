@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from merkleframe.llm import language, linedup, neighbours, packing, rptrees, sharding, simhash, tokenids, toxicity
+from merkleframe.llm import language, linedup, neighbours, packing, pieces, rptrees, sharding, simhash, tokenids, toxicity
 from merkleframe.llm.pieces import PieceEncoder, decode_pieces, encode_pieces, round_trip_digests
 from merkleframe.llm.queries import OP1_SQL, tokenizer_path
 
@@ -320,6 +321,23 @@ def test_long_words_equal_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == own.library.encode(texts, add_bos=True, add_eos=True)
 
 
+@pytest.mark.parametrize("letters", [" ", "\n", "a", "ACGT", "abcdefghijklmnopqrstuvwxyz", "▁th"])
+def test_million_characters_without_a_space(letters):
+    text = "".join(random.Random(6).choices(letters, k=1_000_000))
+    own = encoder()
+    start = time.perf_counter()
+    got = own([text])[0]
+    assert time.perf_counter() - start < 30
+    assert np.frombuffer(got, "<u4").tolist() == own.library.encode(text, add_bos=True, add_eos=True)
+    assert all(len(w) <= pieces.KEPT for w in own.memo)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="athenorisACGT▁ ", max_size=300))
+def test_disturbed_merges_equal_library(text):
+    assert np.frombuffer(encoder()([text])[0], "<u4").tolist() == encoder().library.encode(text, add_bos=True, add_eos=True)
+
+
 def test_piece_tables(spark, docs, clashing):
     path = tokenizer_path("piece_bpe_32k.model")
     table = clashing(docs(*ODD))
