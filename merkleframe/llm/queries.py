@@ -43,7 +43,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 0
-    model = toxicity.learn(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    model = toxicity.learn(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
     scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -1,13 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries of equal length are trained, one on ordinary and one on toxic text. They
-share a body trained on ordinary text and differ in their tails: the toxic tail holds the byte strings
-that mark toxic texts most (a G-test of document counts over short byte strings, joined where they
-overlap), the ordinary tail more ordinary text. Every window of a text is compressed with either
-dictionary; a window that comes out shorter with the toxic one speaks for toxicity. A document's
-differences are summed up in a few figures (largest, mean of the largest, shares above thresholds), and
-a logistic model makes the score of them; it is calibrated on figures from dictionaries that were not
-trained on the documents at hand.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text. What toxic texts share
+with ordinary ones tells nothing, so the toxic one is trained on what they have beyond those (their words
+that hold byte strings which ordinary texts hold far more seldom), and windows are compressed with the
+ordinary dictionary alone and with the toxic one after it; blanks make up the difference in length.
+A window that comes out shorter with the toxic dictionary speaks for toxicity. A document's differences
+are summed up in a few figures (largest, mean of the largest, shares above thresholds), and a logistic
+model makes the score of them; it is calibrated on figures from dictionaries that were not trained on the
+documents at hand.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample
 
-#: Labelled documents of each class that the model is fitted on, about, and their greatest length in characters.
-SAMPLE_PER_CLASS, SAMPLE_CHARACTERS = 5000, 20_000
+#: Labelled documents of each class that the model is fitted on, about. Of a text with more characters, evenly spaced excerpts of so many together count.
+SAMPLE_PER_CLASS, SAMPLE_CHARACTERS, EXCERPTS = 5000, 8000, 8
 WINDOW_WORDS = 8
-BODY_BYTES = 1 << 16
-GRAM = 6
-#: G above max(least, share of the documents) marks a byte string as toxic; so many at most.
-LEAST_G, G_SHARE, MOST_GRAMS = 18.0, 0.005, 400
-LEVEL = 3
+#: Bytes of the ordinary and the toxic dictionary, and of the segments that each is trained in.
+ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_SEGMENT, TOXIC_SEGMENT = 1 << 15, 1 << 12, 200, 16
+#: Lengths of the byte strings, their least G and the least ratio of their frequency in toxic text to that in ordinary text.
+GRAMS, LEAST_G, LEAST_RATIO = (5, 6), 18.0, 5.0
+LEVEL = 13
 _FEATURES = 9
 
 
@@ -77,66 +77,69 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def _grams(text: str) -> np.ndarray:
-    b = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
-    n = len(b) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    codes, inner = np.zeros(n, np.uint64), np.zeros(n, bool)
-    for k in range(GRAM):
-        codes = (codes << np.uint64(8)) | b[k : n + k]
-        if 0 < k < GRAM - 1:
-            inner |= b[k : n + k] == 32  # within words only
-    return np.unique(codes[~inner])
-
-
-def _marks(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Byte strings of the words that mark toxic texts, strongest first."""
-    a, b = (np.unique(np.concatenate([np.zeros(0, np.uint64), *map(_grams, x)]), return_counts=True) for x in (toxic, ordinary))
-    n, m = len(toxic), len(ordinary)
-    here = a[1].astype(float)
-    at = np.minimum(np.searchsorted(b[0], a[0]), max(0, len(b[0]) - 1))
-    there = np.where(b[0][at] == a[0], b[1][at], 0).astype(float) if len(b[0]) else np.zeros(len(here))
-
-    def fit(k: np.ndarray, of: int, p: np.ndarray) -> np.ndarray:
-        p = np.clip(p, 1e-9, 1 - 1e-9)
-        return k * np.log(p) + (of - k) * np.log(1 - p)
-
-    both = (here + there) / (n + m)
-    g = 2 * (fit(here, n, here / n) + fit(there, m, there / m) - fit(here, n, both) - fit(there, m, both))
-    g[here / n <= there / m] = 0
-    good = np.flatnonzero(g > max(LEAST_G, G_SHARE * (n + m)))
-    good = good[np.lexsort((a[0][good], -g[good]))][:MOST_GRAMS]
-    grams = [int(c).to_bytes(GRAM, "big") for c in a[0][good].tolist()]
-    # chain grams that overlap, beginning with the strongest
-    by_head: dict[bytes, list[bytes]] = {}
-    by_tail: dict[bytes, list[bytes]] = {}
-    for gram in grams:
-        by_head.setdefault(gram[:-1], []).append(gram)
-        by_tail.setdefault(gram[1:], []).append(gram)
-    out, used = [], set()
-    for gram in grams:
-        if gram in used:
+def _contexts(texts: list[str], places: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(the texts' words by their place in ``places``, which grows; how many different neighbours each word has, on the side where they are fewer).
+
+    In a passage that several texts share a word has the same neighbour on one side at least, so it counts once.
+    """
+    words = [w for t in texts for w in (b"", *t.lower().encode("utf-8", "surrogatepass").split(), b"")]
+    at = np.fromiter((places.setdefault(w, len(places)) for w in words), np.int64, len(words))
+    inner = np.flatnonzero(at[1:-1] > 0) + 1
+    near = [np.unique(at[inner] << 32 | at[inner + side]) >> 32 for side in (-1, 1)]
+    return at, np.minimum(*(np.bincount(x, minlength=len(places)) for x in near))
+
+
+def _marked(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """Whether a word holds a byte string that marks toxic text; toxic, ordinary: how often each word occurs."""
+    out = np.zeros(len(words), bool)
+    flat = np.frombuffer(b"  ".join([b"", *words, b""]), np.uint8)[:-1].astype(np.uint64)
+    word = np.repeat(np.arange(len(words) + 1), [1, *(len(w) + 2 for w in words)]) - 1  # a word with a space on either side
+    n, m = max(1, toxic.sum()), max(1, ordinary.sum())
+    for size in GRAMS:
+        if len(flat) < size + 1:
             continue
-        used.add(gram)
-        string = gram
-        while more := [x for x in by_head.get(string[1 - GRAM :], []) if x not in used]:
-            used.add(more[0])
-            string += more[0][-1:]
-        while more := [x for x in by_tail.get(string[: GRAM - 1], []) if x not in used]:
-            used.add(more[0])
-            string = more[0][:1] + string
-        out.append(string)
+        codes = np.zeros(len(flat) - size + 1, np.uint64)
+        for k in range(size):
+            codes = (codes << np.uint64(8)) | flat[k : k + len(codes)]
+        own = np.flatnonzero((word[: len(codes)] == word[size - 1 :]) & (word[: len(codes)] >= 0))
+        _, gram = np.unique(codes[own], return_inverse=True)
+        here, there = (np.bincount(gram, weights=c[word[own]]) for c in (toxic, ordinary))
+
+        def likelihood(k: np.ndarray, of: int, p: np.ndarray) -> np.ndarray:
+            p = np.clip(p, 1e-12, 1 - 1e-12)
+            return k * np.log(p) + (of - k) * np.log(1 - p)
+
+        both = (here + there) / (n + m)
+        g = 2 * (likelihood(here, n, here / n) + likelihood(there, m, there / m) - likelihood(here, n, both) - likelihood(there, m, both))
+        good = (g > LEAST_G) & (here / n > LEAST_RATIO * there / m)
+        out[word[own[good[gram]]]] = True
     return out
 
 
-def _body(texts: list[str], size: int) -> bytes:
-    """The content of a dictionary trained on windows of the texts; the windows themselves where they are too few."""
-    samples = [w for t in texts for w in windows(t)]
+def toxic_stretches(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """Of each toxic text, the words that hold what toxic texts have beyond ordinary ones."""
+    places: dict[bytes, int] = {b"": 0}
+    at, here = _contexts(toxic, places)
+    _, there = _contexts(ordinary, places)
+    words = list(places)
+    marked = np.append(False, _marked(words[1:], np.pad(here, (0, len(words) - len(here)))[1:], there[1:]))
+    text = np.cumsum(at == 0) // 2
+    own = np.flatnonzero(marked[at])
+    return [b" " + b" ".join(words[k] for k in part) + b" " for part in np.split(at[own], np.flatnonzero(np.diff(text[own])) + 1) if len(part)]
+
+
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The content of a dictionary trained on the samples, ``size`` bytes; the samples themselves where they are too few."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()[-size:]
+        out = zstandard.train_dictionary(size, samples, k=segment, d=6, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-size:].rjust(size)
+        out = b"".join(samples)
+    return out[-size:].rjust(size)
+
+
+def _joined(samples: list[bytes], n: int) -> list[bytes]:
+    """Short samples, ``n`` in one, as training needs some length."""
+    return [b"".join(samples[k : k + n]) for k in range(0, len(samples), n)]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -153,10 +156,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _dictionaries(toxic: list[str], plain: list[str]) -> Model:
-    tail = b"\n".join(_marks(toxic, plain)[::-1] if toxic and plain else []).rjust(16)
-    body = _body(plain or ["-"], BODY_BYTES + len(tail))
-    # what is nearest the end is cheapest to refer to: the strongest marks come last
-    return Model(body[len(tail) :] + body[: len(tail)], body[len(tail) :] + tail, np.zeros(_FEATURES), np.ones(_FEATURES), np.zeros(_FEATURES + 1))
+    ordinary = _trained(_joined([w for t in plain or ["-"] for w in windows(t)], 16), ORDINARY_BYTES, ORDINARY_SEGMENT)
+    own = _trained(_joined(toxic_stretches(toxic, plain), 4), TOXIC_BYTES, TOXIC_SEGMENT)
+    return Model(ordinary + b" " * TOXIC_BYTES, ordinary + own, np.zeros(_FEATURES), np.ones(_FEATURES), np.zeros(_FEATURES + 1))
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
@@ -165,7 +167,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     Without documents of both classes, every score is the share of toxic ones (a half if none is labelled).
     """
     rows = sorted(zip(toxic, texts))
-    halves = [rows[::2], rows[1::2]]
+    # neighbours in this order, which may be near copies, stay together
+    halves = [[r for k, r in enumerate(rows) if k // 16 % 2 == h] for h in (0, 1)]
 
     def trained(part: list[tuple[int, str]]) -> Model:
         return _dictionaries([t for y, t in part if y == 1], [t for y, t in part if y == 0])
@@ -185,13 +188,16 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS) -> Model:
     """A model of about ``per_class`` labelled documents of each class, chosen by a hash of their ids.
 
-    labels: doc_id and toxic (0 or 1; the larger of several, null ones left out). Texts of over
-    SAMPLE_CHARACTERS characters are left out of the fit; scores are of whole texts.
+    labels: doc_id and toxic (0 or 1; the larger of several, null ones left out). Of a text of over
+    SAMPLE_CHARACTERS characters, EXCERPTS evenly spaced excerpts are looked at; scores are of whole texts.
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # at most about 2 x per_class ids, whatever the input: safe to broadcast
     chosen = F.broadcast(bounded_sample(known, "toxic", per_class, "doc_id").withColumnRenamed("doc_id", "id"))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).filter(F.length("t") <= SAMPLE_CHARACTERS).join(chosen, "id").select("t", "toxic").collect()
+    size = SAMPLE_CHARACTERS // EXCERPTS
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(EXCERPTS - 1)), lambda k: F.substring("t", (k * (F.length("t") - size) / (EXCERPTS - 1)).cast("int") + 1, F.lit(size)))
+    excerpt = F.when(F.length("t") <= SAMPLE_CHARACTERS, F.col("t")).otherwise(F.array_join(pieces, " "))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).filter("t is not null").join(chosen, "id").select(excerpt.alias("t"), "toxic").collect()
     return fit([r.t for r in rows], [r.toxic for r in rows])
 
 

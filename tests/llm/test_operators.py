@@ -420,6 +420,45 @@ def test_toxicity_held_out(spark, clashing):
     assert np.allclose(model.scores([None, ""]), got[9000].score)
 
 
+def test_toxicity_dictionaries_and_window_lengths():
+    """Scores by hand: each window is compressed with either dictionary, on its own."""
+    import zstandard
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice(["an", "be", "co", "du", "el"]) for _ in range(r.randint(1, 4)))
+    plain = [" ".join(word() for _ in range(80)) for _ in range(300)]
+    bad = [" ".join(x for w in t.split() for x in ([w, f"snarf{word()}"] if r.random() < 0.05 else [w])) for t in plain[:100]]
+    stretches = toxicity.toxic_stretches(bad, plain[100:])
+    assert stretches and all(w.startswith(b"snarf") for s in stretches for w in s.split())
+    assert sum(len(s.split()) for s in stretches) == sum(t.count("snarf") for t in bad)
+    model = toxicity.fit([*bad, *plain[100:]], [1] * 100 + [0] * 200)
+    assert len(model.ordinary) == len(model.toxic) and b"snarf" in model.toxic and b"snarf" not in model.ordinary
+    form = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+
+    def length(window: str, dictionary: bytes) -> int:
+        content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        content.precompute_compress(compression_params=form)
+        return len(zstandard.ZstdCompressor(dict_data=content, compression_params=form).compress(window.encode()))
+
+    for text in (bad[0], plain[200], bad[1].upper(), "", None):
+        words = (text or "").lower().split()
+        d = [length(f" {' '.join(words[k : k + 8])} ", model.ordinary) - length(f" {' '.join(words[k : k + 8])} ", model.toxic) for k in range(0, max(1, len(words)), 8)]
+        top = sorted(d, reverse=True)
+        mean = lambda x: sum(x) / len(x)
+        least = lambda k: sum(x >= k for x in d)
+        figures = [top[0], mean(top[:2]), mean(top[:4]), mean(d), least(3) / len(d), least(4) ** 0.5, least(5) / len(d), least(5) ** 0.5, np.log(len(d))]
+        z = sum((f - m) / s * w for f, m, s, w in zip(figures, model.mean, model.scale, model.weights)) + model.weights[-1]
+        assert abs(model.scores([text])[0] - 1 / (1 + np.exp(-z))) < 1e-9
+    assert (model.scores(bad) >= 0.5).mean() > 0.9 and (model.scores(plain[100:]) >= 0.5).mean() < 0.1
+
+
+def test_toxicity_passages_shared_by_texts_mark_nothing():
+    r = random.Random(6)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = text(40)
+    assert toxicity.toxic_stretches([text(50) + " " + passage for _ in range(60)], [text(90) for _ in range(60)]) == []
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
