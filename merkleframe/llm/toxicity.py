@@ -12,6 +12,7 @@ documents at hand.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample
 
 #: Labelled documents of each class that the model is fitted on, about. Of a text with more characters, evenly spaced excerpts of so many together count.
-SAMPLE_PER_CLASS, SAMPLE_CHARACTERS, EXCERPTS = 5000, 8000, 8
+SAMPLE_PER_CLASS, SAMPLE_CHARACTERS, EXCERPTS = 4000, 8000, 8
 WINDOW_WORDS = 8
 #: Bytes of the ordinary and the toxic dictionary, and of the segments that each is trained in.
 ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_SEGMENT, TOXIC_SEGMENT = 1 << 15, 1 << 12, 200, 16
@@ -82,37 +83,53 @@ def _contexts(texts: list[str], places: dict[bytes, int]) -> tuple[np.ndarray, n
 
     In a passage that several texts share a word has the same neighbour on one side at least, so it counts once.
     """
-    words = [w for t in texts for w in (b"", *t.lower().encode("utf-8", "surrogatepass").split(), b"")]
-    at = np.fromiter((places.setdefault(w, len(places)) for w in words), np.int64, len(words))
+    words = (w for t in texts for w in (b"", *t.lower().encode("utf-8", "surrogatepass").split(), b""))
+    at = np.fromiter((places.setdefault(w, len(places)) for w in words), np.int32).astype(np.int64)
     inner = np.flatnonzero(at[1:-1] > 0) + 1
     near = [np.unique(at[inner] << 32 | at[inner + side]) >> 32 for side in (-1, 1)]
     return at, np.minimum(*(np.bincount(x, minlength=len(places)) for x in near))
 
 
+def _strings(words: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(byte strings of ``size`` within words, a space on either side, as numbers; the word of each), some words at once."""
+    for a in range(0, len(words), 1 << 16):
+        part = words[a : a + (1 << 16)]
+        flat = np.frombuffer(b"".join(b" %b " % w for w in part), np.uint8).astype(np.uint64)
+        word = np.repeat(np.arange(a, a + len(part)), [len(w) + 2 for w in part])
+        if len(flat) >= size:
+            codes = np.zeros(len(flat) - size + 1, np.uint64)
+            for k in range(size):
+                codes = (codes << np.uint64(8)) | flat[k : k + len(codes)]
+            own = word[: len(codes)] == word[size - 1 :]
+            yield codes[own], word[: len(codes)][own]
+
+
 def _marked(words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     """Whether a word holds a byte string that marks toxic text; toxic, ordinary: how often each word occurs."""
     out = np.zeros(len(words), bool)
-    flat = np.frombuffer(b"  ".join([b"", *words, b""]), np.uint8)[:-1].astype(np.uint64)
-    word = np.repeat(np.arange(len(words) + 1), [1, *(len(w) + 2 for w in words)]) - 1  # a word with a space on either side
     n, m = max(1, toxic.sum()), max(1, ordinary.sum())
-    for size in GRAMS:
-        if len(flat) < size + 1:
-            continue
-        codes = np.zeros(len(flat) - size + 1, np.uint64)
-        for k in range(size):
-            codes = (codes << np.uint64(8)) | flat[k : k + len(codes)]
-        own = np.flatnonzero((word[: len(codes)] == word[size - 1 :]) & (word[: len(codes)] >= 0))
-        _, gram = np.unique(codes[own], return_inverse=True)
-        here, there = (np.bincount(gram, weights=c[word[own]]) for c in (toxic, ordinary))
 
-        def likelihood(k: np.ndarray, of: int, p: np.ndarray) -> np.ndarray:
-            p = np.clip(p, 1e-12, 1 - 1e-12)
-            return k * np.log(p) + (of - k) * np.log(1 - p)
+    def likelihood(k: np.ndarray, of: int, p: np.ndarray) -> np.ndarray:
+        p = np.clip(p, 1e-12, 1 - 1e-12)
+        return k * np.log(p) + (of - k) * np.log(1 - p)
 
+    mine = np.flatnonzero(toxic)
+    mine_words = [words[k] for k in mine.tolist()]
+    for size in GRAMS:
+        grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(c) for c, _ in _strings(mine_words, size))]))
+        if not len(grams):
+            continue
+        here, there = np.zeros(len(grams)), np.zeros(len(grams))
+        for codes, word in _strings(words, size):
+            at = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
+            hit = grams[at] == codes
+            here += np.bincount(at[hit], weights=toxic[word[hit]], minlength=len(grams))
+            there += np.bincount(at[hit], weights=ordinary[word[hit]], minlength=len(grams))
         both = (here + there) / (n + m)
         g = 2 * (likelihood(here, n, here / n) + likelihood(there, m, there / m) - likelihood(here, n, both) - likelihood(there, m, both))
-        good = (g > LEAST_G) & (here / n > LEAST_RATIO * there / m)
-        out[word[own[good[gram]]]] = True
+        good = grams[(g > LEAST_G) & (here / n > LEAST_RATIO * there / m)]
+        for codes, word in _strings(mine_words, size):
+            out[mine[word[np.isin(codes, good)]]] = True
     return out
 
 
@@ -156,7 +173,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _dictionaries(toxic: list[str], plain: list[str]) -> Model:
-    ordinary = _trained(_joined([w for t in plain or ["-"] for w in windows(t)], 16), ORDINARY_BYTES, ORDINARY_SEGMENT)
+    ordinary = _trained([x for t in plain or ["-"] for x in _joined(windows(t), 16)], ORDINARY_BYTES, ORDINARY_SEGMENT)
     own = _trained(_joined(toxic_stretches(toxic, plain), 4), TOXIC_BYTES, TOXIC_SEGMENT)
     return Model(ordinary + b" " * TOXIC_BYTES, ordinary + own, np.zeros(_FEATURES), np.ones(_FEATURES), np.zeros(_FEATURES + 1))
 
