@@ -10,7 +10,6 @@ prototypes and the texts alike: the mean of the prototypes, in proportion to the
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -26,83 +25,99 @@ DIMENSIONS = 1024
 SAMPLE_PER_LANGUAGE = 4000
 UNKNOWN = "und"
 _SEED = 20240229
-#: Letters have classes 1 to _CLASSES - 1 by code point; 0 is anything else.
-_CLASSES = 512
 #: Characters that are looked at together.
 _CHARACTERS = 1 << 18
-_SPACE = re.compile(r"\s")
-#: Trigram vectors that a worker keeps.
-_KEPT = 1 << 14
+#: Trigram vectors, and letter vectors, that a worker keeps.
+_KEPT, _LETTERS = 1 << 14, 1 << 15
+#: Letters are code points below this one.
+_POINTS = 0x33480
 
 
 def _letter_table() -> np.ndarray:
-    """The class of each code point: Latin letters have one each, others share by a hash of the code point."""
+    """The code point of each letter; 0 for anything else."""
     table = np.zeros(0x110000, np.int64)
-    for c in range(0x20000):
-        if unicodedata.category(chr(c))[0] == "L":
-            table[c] = c if c < 0x180 else 0x180 + (c * 2654435761 >> 8) % (_CLASSES - 0x180)
-    table[0x20000:0x40000] = _CLASSES - 1  # further ideographs
+    letters = [c for c in range(_POINTS) if unicodedata.category(chr(c))[0] == "L"]
+    table[letters] = letters
     return table
 
 
-def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As np.unique with the inverse, without a sort where few letters occur."""
-    parts = [codes // _CLASSES**2, codes // _CLASSES % _CLASSES, codes % _CLASSES]
-    used = np.flatnonzero(sum(np.bincount(p, minlength=_CLASSES) for p in parts))
+def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different trigrams of three arrays of letters, as letters in 21 bits each, and the place of each trigram among them."""
+    dense = np.zeros(_POINTS, np.int64)
+    for p in parts:
+        dense[p] = 1
+    used = np.flatnonzero(dense)
     n = len(used)
-    if n**3 > 1 << 22:
-        return np.unique(codes, return_inverse=True)
-    dense = np.zeros(_CLASSES, np.int64)
     dense[used] = np.arange(n)
     small = (dense[parts[0]] * n + dense[parts[1]]) * n + dense[parts[2]]
-    there = np.flatnonzero(np.bincount(small, minlength=n**3))
-    place = np.zeros(n**3, np.int64)
-    place[there] = np.arange(len(there))
-    return (used[there // n**2] * _CLASSES + used[there // n % n]) * _CLASSES + used[there % n], place[small]
+    if n**3 > 1 << 22:
+        there, place = np.unique(small, return_inverse=True)
+    else:  # without a sort where few letters occur
+        there = np.flatnonzero(np.bincount(small, minlength=n**3))
+        at = np.zeros(n**3, np.int64)
+        at[there] = np.arange(len(there))
+        place = at[small]
+    return used[there // n**2 if n else there] << 42 | used[there // n % n if n else there] << 21 | used[there % n if n else there], place
 
 
 class Trigrams:
     """Bundles of the trigrams of whole texts."""
 
     def __init__(self, dimensions: int = DIMENSIONS):
-        self.table = _letter_table()
-        letters = np.random.default_rng(_SEED).integers(0, 2, (_CLASSES, dimensions)).astype(np.int8) * 2 - 1
-        self.first, self.second, self.third = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters
-        self.dimensions = dimensions
+        self.table, self.dimensions = _letter_table(), dimensions
+        self.letters: dict[int, np.ndarray] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.codes = np.zeros(0, np.int64)
         self.vectors = np.zeros((0, self.dimensions), np.float32)
 
+    def letter(self, point: int) -> np.ndarray:
+        """The random vector of a letter, drawn by its code point; 0 stands for anything else."""
+        if point not in self.letters:
+            if len(self.letters) >= _LETTERS:
+                self.letters = {}
+            self.letters[point] = np.random.default_rng([_SEED, point]).integers(0, 2, self.dimensions).astype(np.int8) * 2 - 1
+        return self.letters[point]
+
+    def _bound(self, codes: np.ndarray) -> np.ndarray:
+        """Each trigram's letters, rotated by their place and multiplied."""
+        out = np.ones((len(codes), self.dimensions), np.int8)
+        for place, turn in ((42, 2), (21, 1), (0, 0)):
+            points, at = np.unique(codes >> place & 0x1FFFFF, return_inverse=True)
+            if len(points):
+                out *= np.roll(np.stack([self.letter(p) for p in points.tolist()]), turn, axis=1)[at]
+        return out.astype(np.float32)
+
     def _vectors(self, codes: np.ndarray) -> np.ndarray:
         """Bound vectors of sorted different trigrams."""
         if len(self.codes) + len(codes) > _KEPT:
             self._forget()
         at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
         known = self.codes[at] == codes if len(self.codes) else np.zeros(len(codes), bool)
-        new = codes[~known]
-        made = (self.first[new // _CLASSES**2] * self.second[new // _CLASSES % _CLASSES] * self.third[new % _CLASSES]).astype(np.float32)
+        made = self._bound(codes[~known])
         if len(codes) > _KEPT:  # too many to keep
             return made
-        if len(new):
-            self.codes = np.concatenate([self.codes, new])
+        if len(made):
+            self.codes = np.concatenate([self.codes, codes[~known]])
             order = np.argsort(self.codes, kind="stable")
             self.codes, self.vectors = self.codes[order], np.concatenate([self.vectors, made])[order]
             at = np.searchsorted(self.codes, codes)
         return self.vectors[at]
 
-    def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        points = np.frombuffer("\0".join(["", *texts, ""]).lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        classes = self.table[points]
-        owner = np.cumsum(points == 0) - 1  # texts have no NUL of their own, see bundles()
+    def _slice(self, texts: list[str], before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bundles and letters of texts in lower case; ``before``, ``after``: whether a text's first or last character is there for its neighbour only."""
+        points = np.frombuffer("\0".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.flatnonzero(points == 0)  # texts have no NUL of their own, see bundles()
+        inner = np.ones(len(points), bool)
+        inner[ends[:-1][before] + 1] = inner[ends[1:][after] - 1] = False
+        classes, owner = self.table[points], np.repeat(np.arange(-1, len(texts) + 1), np.diff([0, *ends, len(points)]))
         own = (classes > 0) | (np.append(1, classes[:-1]) > 0)  # runs of other characters count once
-        classes, owner = classes[own], owner[own]
-        codes = (classes[:-2] * _CLASSES + classes[1:-1]) * _CLASSES + classes[2:]
-        good = (classes[1:-1] > 0) & (owner[1:-1] < len(texts))
-        codes, owner = codes[good], owner[1:-1][good]
+        classes, owner, inner = classes[own], owner[own], inner[own]
+        good = (classes[1:-1] > 0) & inner[1:-1]
+        owner = owner[1:-1][good]
         letters = np.bincount(owner, minlength=len(texts))
-        distinct, inverse = _distinct(codes)
+        distinct, inverse = _distinct([classes[:-2][good], classes[1:-1][good], classes[2:][good]])
         counts = np.bincount(owner * len(distinct) + inverse, minlength=len(texts) * len(distinct)).reshape(len(texts), len(distinct)).astype(np.float32)
         out = np.zeros((len(texts), self.dimensions), np.float32)
         for k in range(0, len(distinct), _KEPT // 2):
@@ -113,23 +128,22 @@ class Trigrams:
     def bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The bundle and the number of letters of each text; texts of any length go through in slices."""
         out, letters = np.zeros((len(texts), self.dimensions), np.float32), np.zeros(len(texts), np.int64)
-        pieces: list[tuple[int, str]] = []
+        pieces: list[tuple[int, str, bool, bool]] = []
         for k, t in enumerate(texts):
-            t, a = (t or "").replace("\0", " "), 0
-            while a < len(t):  # long texts are cut after white space, which no trigram goes across
-                cut = _SPACE.search(t, a + _CHARACTERS) if len(t) > a + _CHARACTERS else None
-                b = cut.end() if cut else len(t)
-                pieces.append((k, t[a:b]))
-                a = b
+            t = (t or "").replace("\0", " ").lower()
+            for a in range(0, len(t), _CHARACTERS):  # with the characters next to a cut
+                b = a + _CHARACTERS
+                pieces.append((k, t[max(0, a - 1) : b + 1], a > 0, b < len(t)))
         start = 0
         while start < len(pieces):
             stop, total = start, 0
             while stop < len(pieces) and (stop == start or (total + len(pieces[stop][1]) <= _CHARACTERS and stop - start < 256)):
                 total += len(pieces[stop][1])
                 stop += 1
-            b, n = self._slice([p for _, p in pieces[start:stop]])
-            np.add.at(out, [k for k, _ in pieces[start:stop]], b)
-            np.add.at(letters, [k for k, _ in pieces[start:stop]], n)
+            owners, parts, before, after = zip(*pieces[start:stop])
+            b, n = self._slice(list(parts), np.array(before), np.array(after))
+            np.add.at(out, list(owners), b)
+            np.add.at(letters, list(owners), n)
             start = stop
         return out, letters
 

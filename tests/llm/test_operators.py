@@ -376,18 +376,63 @@ def test_language_held_out(spark, clashing):
     assert nothing.predict(["abc"])[0] == ["und"]
 
 
-def test_language_slices_of_long_texts(monkeypatch):
-    whole = language.Trigrams(64).bundles([LONG, "x"])
-    monkeypatch.setattr(language, "_CHARACTERS", 999)
-    parts = language.Trigrams(64).bundles([LONG, "x"])
-    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
+@pytest.mark.parametrize("size", [1, 2, 7, 999])
+def test_language_slices_of_long_texts(monkeypatch, size):
+    texts = [LONG[:3000], "x", None, "日本語のテキスト。" * 40, "a1b  cd" * 30, "İstanbul ΣΑΣ" * 9]
+    whole = language.Trigrams(64).bundles(texts)
+    monkeypatch.setattr(language, "_CHARACTERS", size)
+    parts = language.Trigrams(64).bundles(texts)
+    assert np.allclose(whole[0], parts[0], atol=1e-2) and (whole[1] == parts[1]).all()
+
+
+def by_hand(t, text):
+    """The sum of bound trigrams around each letter, with anything between letters as one class."""
+    import unicodedata
+
+    points = []
+    for c in f" {text.lower()} ":
+        point = ord(c) if unicodedata.category(c)[0] == "L" else 0
+        if point or not points or points[-1]:
+            points.append(point)
+    out = np.zeros(t.dimensions)
+    for a, b, c in zip(points, points[1:], points[2:]):
+        if b:
+            out += np.roll(t.letter(a), 2) * np.roll(t.letter(b), 1) * t.letter(c)
+    return out
 
 
 def test_language_bundle_is_the_sum_of_bound_trigrams():
     t = language.Trigrams(64)
-    code = lambda c: t.table[ord(c)]
-    expected = sum(t.first[a] * t.second[code(b)] * t.third[c] for a, b, c in ((0, "a", code("b")), (code("a"), "b", 0)))
-    assert (t.bundles(["Ab"])[0][0] == expected).all()
+    texts = ["Ab", "Ab, cd!! Ab", "漢字かな交じり文 한글 тест", "é" * 5, "", " 12 "]
+    assert (t.bundles(texts)[0] == np.array([by_hand(t, x) for x in texts])).all()
+    assert len({t.letter(ord(c)).tobytes() for c in "漢字体文かなカナ한글"}) == 10
+
+
+def test_language_predictions_equal_brute_force(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate(corpus(3, 30))]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dimensions=256)
+    t = language.Trigrams(256)
+    unit = lambda x: x / np.linalg.norm(x)
+    sums = {name: sum(unit(by_hand(t, x)) for _, x, lang in rows if lang == name) for name in ("xx", "yy", "zz")}
+    profiles = {name: unit(x) for name, x in sums.items()}
+    mean = unit(sum(profiles.values()))
+    apart = lambda x: unit(x - (x @ mean) * mean)
+    test = [x for x, _ in corpus(4, 20)]
+    langs, scores = model.predict(test)
+    for text, lang, score in zip(test, langs, scores):
+        near = {name: apart(by_hand(t, text)) @ apart(x) for name, x in profiles.items()}
+        assert lang == max(near, key=near.get) and abs(score - np.clip(near[lang], 0, 1)) < 1e-4
+
+
+def test_language_unspaced_text_takes_bounded_memory():
+    import tracemalloc
+
+    t = language.Trigrams(64)
+    t.bundles(["字" * 1000])
+    tracemalloc.start()
+    t.bundles(["漢字かな" * 1_000_000])
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
 
 
 # toxicity
