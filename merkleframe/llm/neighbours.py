@@ -1,11 +1,13 @@
 """Approximate nearest neighbours: inverted lists scanned dimension by dimension, with early abandonment.
 
-Every vector belongs to the list of its nearest centroid. A query probes the lists nearest to it, a
-stated share of them and at least as many as hold enough candidates. Vectors and query are rotated at
-random, so that any few coordinates are a sample of all, and the coordinates of a list lie in blocks of
-columns. After each block a candidate is abandoned if the hypothesis that it is near enough fails: its
-partial distance, scaled to all dimensions, exceeds the threshold by more than the sample's error
-allows. What survives is measured exactly on the original vectors.
+Every vector belongs to the lists of its two nearest centroids. A query probes the lists nearest to it:
+as many as it takes for a measured recall. A few of the queries are compared with all rows, in blocks, and
+the places that the lists of their true neighbours have in the queries' own orders tell how far down one
+must go. Vectors and query are rotated at random, so that any few coordinates are a sample of all, and the
+coordinates of a list lie in blocks of columns. After each block a candidate is abandoned if the
+hypothesis that it is near enough fails: its partial distance, scaled to all dimensions, exceeds the
+threshold by more than the sample's error allows. What survives is measured exactly on the original
+vectors.
 
 The threshold of a query is its k-th distance within its first lists, which are scanned before the
 others. Lists are dealt in blocks of candidates and of queries, so that neither a crowded list nor a
@@ -25,12 +27,12 @@ from .common import checkpoint, unit_hash
 from .rptrees import usable
 
 K = 10
-#: Vectors of a sample that the centroids are fitted on, about, and the greatest number of lists.
-SAMPLE, LISTS = 16_384, 256
-#: A list for so many vectors, until there are LISTS.
-PER_LIST = 64
-#: The share of the lists that a query probes, and how many of them come first, for the threshold.
-PROBED, FIRST = 0.75, 2
+#: Vectors of a sample that the centroids are fitted on, about, and the greatest number of lists; below it there are LISTS_BY times the square root of the vectors.
+SAMPLE, LISTS, LISTS_BY = 32_768, 1024, 2
+#: Lists that a vector belongs to, and those that are scanned first, for the threshold.
+SPREAD, FIRST = 2, 2
+#: Queries that the probes are measured on, and the share of their neighbours that the probed lists must hold.
+MEASURED, RECALL = 64, 0.95
 #: Coordinates in a block, and the errors (in standard deviations) that a candidate is given.
 COLUMNS, EPSILON = 16, 3.0
 #: Rounding that a distance of rotated vectors is given, as a share of the greatest norm that a hit can have.
@@ -57,8 +59,18 @@ def centroids(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
-    d = (c**2).sum(1)[None] - 2 * (x @ c.T)
-    return np.argmin(d, 1)[:, None] if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n]
+    """The n centroids nearest to each row, nearest first."""
+    out = np.empty((len(x), n), np.int64)
+    for k in range(0, len(x), 4096):
+        d = (c**2).sum(1)[None] - 2 * (x[k : k + 4096] @ c.T)
+        if n == 1:
+            out[k : k + 4096, 0] = np.argmin(d, 1)
+        elif n == len(c):
+            out[k : k + 4096] = np.argsort(d, axis=1, kind="stable")
+        else:
+            some = np.argpartition(d, n, axis=1)[:, :n]
+            out[k : k + 4096] = np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)
+    return out
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -112,19 +124,42 @@ def _scanned(vectors: DataFrame, probes: DataFrame, blocks: DataFrame, k: int) -
     return candidates.unionByName(queries).groupBy("list", "cb", "qb").applyInPandas(searched, "query_id long, vec_id long, score double")
 
 
+def probes_for(vectors: DataFrame, asked: DataFrame, middle: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """How many lists a query must probe for its lists to hold a share ``recall`` of the true neighbours of some queries, found among all ``vectors`` (vec_id, v, lists)."""
+    some = asked.orderBy(unit_hash(F.col("query_id"), seed="measured"), "query_id").limit(MEASURED).collect()
+    names, q = np.array([r.query_id for r in some]), np.array([r.q for r in some])
+    place = np.argsort(nearest(q, middle, len(middle)), axis=1)
+
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                x, ids, lists = _matrix(frame["v"]), frame["vec_id"].to_numpy(), np.stack(frame["lists"].tolist())
+                d = ((x**2).sum(1)[:, None] - 2 * (x @ q.T)) + (q**2).sum(1)
+                d[ids[:, None] == names] = np.inf
+                top = np.argpartition(d, min(k, len(d)) - 1, axis=0)[:k]
+                asks = np.broadcast_to(np.arange(len(q)), top.shape)
+                out = pd.DataFrame({"asks": asks.ravel(), "id": ids[top].ravel(), "d": d[top, asks].ravel(), "place": place[asks[:, :, None], lists[top]].min(2).ravel()})
+                yield out[np.isfinite(out["d"])]
+
+    found = vectors.mapInPandas(near, "asks int, id long, d double, place int")
+    order = Window.partitionBy("asks").orderBy("d", "id")
+    places = sorted(r.place for r in found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("place").collect())
+    return places[int(np.ceil(recall * len(places))) - 1] + 1 if places else 1
+
+
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
+    return hits.distinct().withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS, probed: float = PROBED, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = K, lists: int | None = None, recall: float = RECALL, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest rows to each query: query_id, rank (from 1), vec_id and score (Euclidean distance, in double precision).
 
     ``queries`` has the same columns; rows of the query's own id are no candidates for it, and a
-    repeated query is asked once (with its least vector). Ties go to the smaller id. Vectors that are
-    null, empty, zero or hold null or non-finite components, null ids, and vectors with another number
-    of components than most (of equals, the greatest) take no part. A query without candidates has no
-    row; neither has an empty table.
+    repeated query is asked once (with its least vector). Repeated rows count once. Ties go to the
+    smaller id. Vectors that are null, empty, zero or hold null or non-finite components, null ids, and
+    vectors with another number of components than most (of equals, the greatest) take no part. A query
+    without candidates has no row; neither has an empty table.
     """
     chosen = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     vectors = chosen(rows)
@@ -134,36 +169,39 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS,
     dim, n = sizes
     vectors = vectors.filter(F.size("v") == dim)
     asked = chosen(queries).filter(F.size("v") == dim).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
-    lists = max(1, min(lists, n // PER_LIST))
+    lists = lists or (min(LISTS, int(LISTS_BY * n**0.5)) if n > CANDIDATES else 1)  # what a block holds is scanned as one
     sample = vectors.filter(unit_hash(F.col("vec_id"), F.col("v")) < SAMPLE / n).orderBy("vec_id").collect() if lists > 1 else []
     lists = max(1, min(lists, len(sample)))
     middle = centroids(np.array([r.v for r in sample]), lists) if lists > 1 else np.zeros((1, dim))
+    spread = min(SPREAD, lists)
 
     def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                yield frame.assign(list=nearest(_matrix(frame["v"]), middle, 1)[:, 0].astype(np.int32))
+                yield frame.assign(lists=list(nearest(_matrix(frame["v"]), middle, spread).astype(np.int32)))
 
-    vectors = checkpoint(vectors.mapInPandas(placed, "vec_id long, v array<double>, list int"))
+    vectors = checkpoint(vectors.mapInPandas(placed, "vec_id long, v array<double>, lists array<int>"))
+    asked = checkpoint(asked)
+    probed = probes_for(vectors, asked, middle, k, recall)
+    vectors = vectors.select("vec_id", "v", F.explode("lists").alias("list"))
     counts = checkpoint(vectors.groupBy("list").count())
     held = np.zeros(lists, np.int64)
     for r in counts.collect():  # at most LISTS rows
         held[r["list"]] = r["count"]
-    least = max(1, int(np.ceil(probed * lists)))
 
     def probing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for k0 in range(0, len(frame), 256):
                 own = frame.iloc[k0 : k0 + 256]
-                order = nearest(_matrix(own["q"]), middle, lists).reshape(len(own), -1)
-                enough = (np.cumsum(held[order], axis=1) < 10 * (k + 1)).sum(1) + 1
-                for row, o, e in zip(own.itertuples(), order, enough.tolist()):
-                    at = o[: max(least, e)]
-                    yield pd.DataFrame({"query_id": row.query_id, "q": [row.q] * len(at), "list": at.astype(np.int32), "place": np.arange(len(at), dtype=np.int32)})
-
-    probes = asked.mapInPandas(probing, "query_id long, q array<double>, list int, place int")
+                order = nearest(_matrix(own["q"]), middle, lists)
+                enough = (np.cumsum(held[order], axis=1) < 10 * spread * (k + 1)).sum(1) + 1
+                size = np.minimum(np.maximum(probed, enough), lists)
+                row = np.repeat(np.arange(len(own)), size)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                yield pd.DataFrame({"query_id": own["query_id"].to_numpy()[row], "q": own["q"].to_numpy()[row], "list": order[row, at].astype(np.int32), "place": at.astype(np.int32)})
+
+    probes = checkpoint(asked.mapInPandas(probing, "query_id long, q array<double>, list int, place int"))
     blocks = counts.select("list", F.ceil(F.col("count") / CANDIDATES).cast("int").alias("blocks"))
-    probes = checkpoint(probes)
     first = checkpoint(_ranked(_scanned(vectors, probes.filter(F.col("place") < FIRST).withColumn("bound", F.lit(float("inf"))), blocks, k), k))
     bounds = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
     rest = probes.filter(F.col("place") >= FIRST).join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))

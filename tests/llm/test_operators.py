@@ -675,6 +675,43 @@ def test_search_recall(spark, clashing, n):
     assert neighbours.search(table.limit(0), table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_search_probes_few_lists(spark, kind, monkeypatch):
+    """Lists at the shipped parameters: recall against brute force, and the share of lists that is probed."""
+    r = np.random.default_rng(7)
+    n = 24_000
+    x = r.standard_normal((n, 32))
+    if kind == "clustered":
+        x = 3 * r.standard_normal((300, 32))[r.integers(0, 300, n)] + 0.5 * x
+    probed = []
+    was = neighbours.probes_for
+    monkeypatch.setattr(neighbours, "probes_for", lambda *a: probed.append(was(*a)) or probed[-1])
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8).cache()
+    hit = 0
+    for row in neighbours.search(table, table.filter("vec_id % 400 = 0")).groupBy("query_id").agg({"vec_id": "collect_set"}).collect():
+        d = ((x - x[row[0]]) ** 2).sum(1)
+        d[row[0]] = np.inf
+        hit += len(set(row[1]) & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.9 * 10 * 60
+    assert probed[0] <= 0.25 * neighbours.LISTS_BY * n**0.5
+
+
+def test_search_equals_sql_in_one_list(spark, tmp_path):
+    import duckdb
+
+    x = clouds(9, 700).astype(float)
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    table.write.parquet(str(tmp_path / "e"))
+    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in neighbours.search(table, table.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()]
+    expected = duckdb.sql(f"""
+      SELECT * FROM (
+        SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding, e.embedding), e.vec_id) AS rank,
+               e.vec_id, round(list_distance(q.embedding, e.embedding), 9)
+        FROM '{tmp_path}/e/*.parquet' q JOIN '{tmp_path}/e/*.parquet' e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)
+      WHERE rank <= 10 ORDER BY 1, 2""").fetchall()
+    assert len(set(got) & set(expected)) >= 0.97 * len(expected) and len(got) == len(expected)
+
+
 def test_scan_abandons_nothing_that_is_near():
     x = clouds(3, 800).astype(float)
     turn = neighbours.rotation(16)
