@@ -20,6 +20,5 @@ def rehash(scan: DataFrame, known: DataFrame, content: str = "content", algorith
     """
     kept = known.select("fingerprint", "path", F.col("checksum").alias("known")).dropDuplicates(["fingerprint", "path"])
     joined = scan.join(kept, ["fingerprint", "path"], "left")
-    fresh = joined.filter(F.col("known").isNull()).withColumn("checksum", digest(F.col(content), algorithm, context)).withColumn("reused", F.lit(False))
-    old = joined.filter(F.col("known").isNotNull()).withColumn("checksum", F.col("known")).withColumn("reused", F.lit(True))
-    return old.unionByName(fresh).drop("known", content)
+    new = F.when(F.col("known").isNull(), F.col(content))  # null, and so not hashed, where the checksum is known
+    return joined.withColumn("checksum", F.coalesce("known", digest(new, algorithm, context))).withColumn("reused", F.col("known").isNotNull()).drop("known", content)

@@ -42,11 +42,6 @@ def ancestors(files: DataFrame) -> DataFrame:
     return files.select(F.explode(prefixes).alias("path")).distinct()
 
 
-def combine(checksums: Column, algorithm: str = "sha256", context: str | None = None) -> Column:
-    """Aggregate: the digest of the distinct checksums of a group."""
-    return digest(F.array_join(F.array_sort(F.collect_set(checksums)), ""), algorithm, context)
-
-
 def _level(children: DataFrame, algorithm: str, context: str | None) -> DataFrame:
     """path, checksum and size of the parents of ``children`` (parent, checksum, size)."""
     # the digest is of an aggregate, so it is a projection above it

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import digest
+from .lineage import checkpoint
 from .operators import algebra, catalog, incremental, integrity, merkle, objects
 from .schema import MANIFEST_COLUMNS, format_line, parse_lines
 
@@ -32,8 +33,9 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     docs = _contents(spark, sf_dir).join(labels, "doc_id", "left").filter(F.coalesce("toxic", F.lit(0)) == 0)
-    kept = docs.select("path", F.when(F.col("quality") == 0, F.lower("content")).otherwise(F.col("content")).alias("content"))
-    items = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("./benchmark/"), F.col("item_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    low = F.coalesce(F.col("quality") == 0, F.lit(False))
+    kept = docs.select("path", F.when(low, F.lower("content")).otherwise(F.col("content")).alias("content"), low.cast("int").alias("changed"))
+    items = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("./benchmark/items/"), F.col("item_id").cast("string")).alias("path"), F.col("text").alias("content"), F.lit(0).alias("changed"))
     return kept.unionByName(items)
 
 
@@ -50,16 +52,26 @@ def _file_rows(files: DataFrame) -> DataFrame:
     return files.select(F.lit("F").alias("path_type"), F.lit("600").alias("permissions"), "checksum", "size", "path")
 
 
+def _hashed(contents: DataFrame) -> DataFrame:
+    """Paths, checksums and sizes, once: as a join key, the digest of the contents would be computed again and again."""
+    return checkpoint(_files(contents))
+
+
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return _file_rows(_files(_contents(spark, sf_dir))), _file_rows(_files(_curated(spark, sf_dir)))
+    """The whole manifests of the base and the curated version."""
+    return tuple(checkpoint(_manifest(spark, sf_dir, version)) for version in ("base", "curated"))
 
 
-def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects named by the base version's digests, with the curated version's bytes written over them; of several, the least path's."""
-    base, curated = _files(_contents(spark, sf_dir)), _files(_curated(spark, sf_dir))
+def _objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The base version's file rows, and an inventory of objects named by their digests, with the curated version's bytes written over them; of several, the least path's."""
+    base, curated = _hashed(_contents(spark, sf_dir)), _hashed(_curated(spark, sf_dir))
     first = base.groupBy("checksum").agg(F.min("path").alias("path"))
     now = first.join(curated.select("path", F.col("checksum").alias("actual_checksum")), "path")
-    return now.select("checksum", "actual_checksum", objects.sharded(F.col("checksum")).alias("path"))
+    return _file_rows(base), now.select("checksum", "actual_checksum", objects.sharded(F.col("checksum")).alias("path"))
+
+
+def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _objects(spark, sf_dir)[1]
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,25 +161,26 @@ def manifest_difference(spark, sf_dir):
 
 
 def missing_objects(spark, sf_dir):
-    base, curated = _two(spark, sf_dir)
-    return objects.missing(curated, base.select("checksum").distinct())
+    base, curated = _hashed(_contents(spark, sf_dir)), _hashed(_curated(spark, sf_dir))
+    return objects.missing(_file_rows(curated), base.select("checksum").distinct())
 
 
 def tampered_objects(spark, sf_dir):
-    return objects.tampered(_file_rows(_files(_contents(spark, sf_dir))), _inventory(spark, sf_dir))
+    return objects.tampered(*_objects(spark, sf_dir))
 
 
 def transfer_plan(spark, sf_dir):
-    return objects.transfers(_file_rows(_files(_contents(spark, sf_dir))), _inventory(spark, sf_dir))
+    return objects.transfers(*_objects(spark, sf_dir))
 
 
 def checkout_plan(spark, sf_dir):
     base, curated = _two(spark, sf_dir)
-    return objects.checkout_plan(base, curated, base.select("checksum"))
+    cached = algebra.only_files(curated).filter(F.substring("checksum", 1, 1) < "c").select("checksum")
+    return objects.checkout_plan(base, curated, cached)
 
 
 def verify_status(spark, sf_dir):
-    return integrity.verify_snapshot(_file_rows(_files(_contents(spark, sf_dir))), _inventory(spark, sf_dir))
+    return integrity.verify_snapshot(*_objects(spark, sf_dir))
 
 
 def verify_inventory(spark, sf_dir):
@@ -215,8 +228,9 @@ def checked_log(spark, sf_dir):
 
 
 def incremental_rehash(spark, sf_dir):
-    mark = incremental.fingerprint("path", "size")
-    old = _files(_contents(spark, sf_dir)).withColumn("fingerprint", mark)
+    # the change mark stands for a file's time: a text may change without a change of its size
+    mark = incremental.fingerprint("path", "size", "changed")
+    old = _files(_contents(spark, sf_dir)).withColumn("changed", F.lit(0)).withColumn("fingerprint", mark)
     scan = _curated(spark, sf_dir).withColumn("size", F.octet_length("content").cast("long")).withColumn("fingerprint", mark)
     return incremental.rehash(scan, old).select("path", "size", "checksum", "reused")
 
@@ -245,9 +259,9 @@ def blake3_keyed_manifest(spark, sf_dir):
 
 
 _DOCS = "SELECT './' || lang || '/' || source || '/' || doc_id AS path, text AS content, doc_id FROM documents"
-_CURATED = f"""SELECT path, CASE WHEN quality = 0 THEN lower(content) ELSE content END AS content
+_CURATED = f"""SELECT path, CASE WHEN quality = 0 THEN lower(content) ELSE content END AS content, CASE WHEN quality = 0 THEN 1 ELSE 0 END AS changed
   FROM ({_DOCS}) d LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0
-  UNION ALL SELECT './benchmark/' || item_id, text FROM benchmark"""
+  UNION ALL SELECT './benchmark/items/' || item_id, text, 0 FROM benchmark"""
 
 
 def _files_sql(contents: str, hash_name: str = "sha256") -> str:
@@ -280,7 +294,8 @@ _HISTORY = """SELECT id, previous_id, location, created_at FROM (
   SELECT id, lag(id) OVER (PARTITION BY location ORDER BY created_at, seq) AS previous_id, location, created_at
   FROM (SELECT sha256(event_type) AS id, user_id::VARCHAR AS location, ts AS created_at, event_id AS seq FROM events))
   WHERE id IS DISTINCT FROM previous_id"""
-_BASE_TWO = f"WITH base AS ({_rows_sql(_DOCS)}), curated AS ({_rows_sql(_CURATED)}) "
+_BASE_FILES = f"WITH base AS ({_rows_sql(_DOCS)}), curated AS ({_rows_sql(_CURATED)}) "
+_BASE_TWO = f"WITH base AS ({_manifest_sql(_DOCS)}), curated AS ({_manifest_sql(_CURATED)}) "
 _COLUMNS = ", ".join(MANIFEST_COLUMNS)
 _TIME = "strftime(created_at, '%Y-%m-%d %H:%M:%S.%g')"
 
@@ -344,17 +359,18 @@ ORACLE_SQL: dict[str, str] = {
     "paths_filter": _manifest_sql(_DOCS, then=f"SELECT {_COLUMNS} FROM manifest WHERE regexp_matches(path, '^(\\.|\\./|/)?(en/src1|de/src0/)')"),
     "manifest_additions": f"{_BASE_TWO} SELECT {_COLUMNS} FROM curated EXCEPT ALL SELECT {_COLUMNS} FROM base",
     "manifest_deletions": f"{_BASE_TWO} SELECT {_COLUMNS} FROM base EXCEPT ALL SELECT {_COLUMNS} FROM curated",
-    "manifest_unchanged": f"{_BASE_TWO} SELECT {_COLUMNS} FROM base EXCEPT ALL (SELECT {_COLUMNS} FROM curated EXCEPT ALL SELECT {_COLUMNS} FROM base)",
+    "manifest_unchanged": f"{_BASE_TWO} SELECT {_COLUMNS} FROM base WHERE path_type = 'F' EXCEPT ALL (SELECT {_COLUMNS} FROM curated EXCEPT ALL SELECT {_COLUMNS} FROM base)",
     "manifest_difference": f"""{_BASE_TWO} SELECT coalesce(a.path, t.path) AS path,
-  CASE WHEN a.path IS NULL THEN 'added' WHEN t.path IS NULL THEN 'deleted' WHEN a.checksum = t.checksum AND a.size = t.size THEN 'same' ELSE 'modified' END AS change,
+  CASE WHEN a.path IS NULL THEN 'added' WHEN t.path IS NULL THEN 'deleted' WHEN a.checksum = t.checksum AND a.size = t.size AND a.permissions = t.permissions THEN 'same' ELSE 'modified' END AS change,
   a.checksum AS actual_checksum, t.checksum AS target_checksum FROM base a FULL JOIN curated t ON a.path = t.path""",
-    "missing_objects": f"{_BASE_TWO} SELECT checksum, max(size) AS size FROM curated WHERE checksum NOT IN (SELECT checksum FROM base) GROUP BY checksum",
+    "missing_objects": f"{_BASE_FILES} SELECT checksum, max(size) AS size FROM curated WHERE checksum NOT IN (SELECT checksum FROM base) GROUP BY checksum",
     "tampered_objects": f"SELECT checksum, size, actual_checksum FROM ({_LAYOUT}) o JOIN (SELECT DISTINCT checksum, actual_checksum FROM ({_INVENTORY})) USING (checksum) WHERE checksum <> actual_checksum",
     "transfer_plan": f"""SELECT o.checksum, o.size, o.path, CASE WHEN i.checksum IS NULL THEN 'missing' ELSE 'tampered' END AS reason
   FROM ({_LAYOUT}) o LEFT JOIN ({_INVENTORY}) i USING (checksum) WHERE i.checksum IS NULL OR i.checksum <> i.actual_checksum""",
-    "checkout_plan": f"""{_BASE_TWO} SELECT t.*, CASE WHEN b.path IS NOT NULL THEN 'overwrite' ELSE 'copy' END AS action,
-  CASE WHEN t.checksum NOT IN (SELECT checksum FROM base) THEN 'missing' WHEN b.path IS NOT NULL THEN 'conflict' END AS error
-  FROM (SELECT {_COLUMNS} FROM curated EXCEPT ALL SELECT {_COLUMNS} FROM base) t LEFT JOIN base b ON b.path = t.path""",
+    "checkout_plan": f"""{_BASE_TWO} SELECT t.*, CASE WHEN t.path_type = 'D' THEN 'mkdir' WHEN b.path IS NOT NULL THEN 'overwrite' ELSE 'copy' END AS action,
+  CASE WHEN t.path_type = 'D' THEN NULL WHEN t.checksum[1] >= 'c' THEN 'missing' WHEN b.path IS NOT NULL THEN 'conflict' END AS error
+  FROM (SELECT {_COLUMNS} FROM curated EXCEPT ALL SELECT {_COLUMNS} FROM base) t LEFT JOIN base b ON b.path = t.path
+  WHERE t.path_type = 'F' OR b.path IS NULL""",
     "verify_status": f"SELECT o.checksum, i.actual_checksum, CASE WHEN i.actual_checksum = o.checksum THEN 'OK' ELSE 'FAILED' END AS status FROM ({_LAYOUT}) o LEFT JOIN ({_INVENTORY}) i ON o.checksum = i.checksum",
     "verify_inventory": f"SELECT path, checksum, actual_checksum FROM ({_INVENTORY}) WHERE checksum <> actual_checksum",
     "purged_inventory": f"SELECT checksum, actual_checksum, path FROM ({_INVENTORY}) WHERE checksum = actual_checksum",
@@ -369,7 +385,8 @@ ORACLE_SQL: dict[str, str] = {
     "catalog_json": f"SELECT json_object('created_at', {_TIME}, 'id', id, 'location', location, 'previous_id', previous_id)::VARCHAR AS json FROM ({_HISTORY})",
     "checked_log": "SELECT 'push' AS event, sha256(event_type) AS id, user_id::VARCHAR AS location, ts AS created_at, event_id AS seq FROM events",
     "incremental_rehash": f"""SELECT n.path, n.size, coalesce(o.checksum, n.checksum) AS checksum, o.checksum IS NOT NULL AS reused
-  FROM ({_files_sql(_CURATED)}) n LEFT JOIN ({_files_sql(_DOCS)}) o ON n.path = o.path AND n.size = o.size""",
+  FROM (SELECT path, sha256(content) AS checksum, strlen(content)::BIGINT AS size, changed FROM ({_CURATED})) n
+  LEFT JOIN ({_files_sql(_DOCS)}) o ON n.path = o.path AND n.size = o.size AND n.changed = 0""",
     "store_uri_parse": r"""SELECT page_id, nullif(regexp_extract(url, '^([a-z0-9]*)://', 1), '') AS protocol,
   split_part(regexp_replace(url, '^[^:]*://', ''), '/', 1) AS bucket, regexp_extract(regexp_replace(url, '^[^:]*://', ''), '^[^/]*/(.*)$', 1) AS base_dir FROM pages""",
     "digests": f"SELECT path, md5(content) AS md5, sha1(content) AS sha1, sha256(content) AS sha256 FROM ({_DOCS})",
