@@ -14,11 +14,11 @@ SYSTEM_EXCLUDES = "/vscode/|/dev/|/proc/|/sys/|/tmp/|/var/run/|/run/|/mnt/|/medi
 COMMON_EXCLUDES = ".cache|.git|.DS_Store|.vscode-server|.dbus|.gvfs|.local/share/gvfs-metadata|.local/share/Trash|.Trash|node_modules|Trash-1000"
 
 
-def expand_excludes(pattern: str, cache_dir: str = "") -> tuple[str, bool]:
-    """The pattern with its macros expanded, and whether links may be followed (%system% forbids it)."""
+def expand_excludes(pattern: str, cache_dir: str = "", system: str = SYSTEM_EXCLUDES, common: str = COMMON_EXCLUDES) -> tuple[str, bool]:
+    """The pattern with its macros expanded (to other lists, if given), and whether links may be followed (%system% forbids it)."""
     follow = "%system%" not in pattern
-    system = "|".join([f"({SYSTEM_EXCLUDES})", f"{os.path.expanduser('~')}/.cache/", *([cache_dir] if cache_dir else [])])
-    return pattern.replace("%system%", f"(^({system}))").replace("%common%", f"(/({COMMON_EXCLUDES})($|/))"), follow
+    system = "|".join([f"({system})", f"{os.path.expanduser('~')}/.cache/", *([cache_dir] if cache_dir else [])])
+    return pattern.replace("%system%", f"(^({system}))").replace("%common%", f"(/({common})($|/))"), follow
 
 
 def exclude(rows: DataFrame, pattern: str, path: str | Column = "path") -> DataFrame:

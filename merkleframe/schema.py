@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +20,12 @@ SYSTEM = "version string, created_at timestamp"
 LINE = r"^(D|F) ([0-9]+) ([a-f0-9]+) ([0-9]+) (.+)$"
 
 
-def valid_id(column: Column) -> Column:
-    return column.rlike("^[a-f0-9]{64}$")
+#: Of the library.
+VERSION = "2"
+
+
+def is_id(text: str) -> bool:
+    return re.fullmatch("[a-f0-9]{64}", text) is not None
 
 
 def format_line() -> Column:
@@ -37,10 +43,6 @@ def parse_text(spark: SparkSession, text: str) -> DataFrame:
     return parse_lines(spark.createDataFrame([(line,) for line in text.split("\n")], "value string"))
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return parse_lines(spark.read.text(path))
-
-
 def struct_of(schema: str) -> T.StructType:
     return T._parse_datatype_string(schema)
 

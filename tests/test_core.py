@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from merkleframe.functions.blake3 import Span, blake3, blake3_stream, combine
 from merkleframe.functions.hashing import digest, register
 from merkleframe.operators import algebra, catalog, incremental, integrity, merkle, objects
-from merkleframe.plans.workflows import CheckoutError, Workspace, id_of, manifest_of, text_of
+from merkleframe.plans.workflows import CheckoutError, Workspace, id_of, manifest_of, manifest_with_memo, memo_id, text_of
 from merkleframe.schema import parse_text
-from merkleframe.sources.fstree import scan
-from merkleframe.sources.stores import LocalStore, open_store, shard
+from merkleframe.sources.fstree import FsTree, scan
+from merkleframe.sources.stores import ArrowStore, LocalStore, open_store, register_store, shard
 
 NESTED = {"a/a1f": "a1f", "a/aa/aa1f": "aa1f", "a/aa/aaa/aaa1f": "aaa1f", "a/aa/aaa/aaa2f": "aaa2f", "b/bb/bbb/bbb1f": "bbb1f", "b/bb/bbb/bbb2f": "bbb2f", "c/cc/ccc/ccc1f": "ccc1f", "r1f": "r1f"}
 # fixed values: root checksums of the tree above
@@ -414,3 +414,79 @@ def test_event_stream(spark, tmp_path):
     # the last batch holds nothing new
     got = rows(spark.read.parquet(str(tmp_path / "out")).select("id", "location", "created_at"))
     assert got == rows(catalog.collapse(spark.createDataFrame(log, schema), "seq").select("id", "location", "created_at"))
+
+
+def test_arrow_store_round_trip(space, tmp_path):
+    """Push to, and fetch from, a store that Arrow opens by URI; tampered and cut-off objects are refused or mended."""
+    uri = f"arrow://{tmp_path}/far"
+    register_store("arrow", lambda spark, rest: ArrowStore(spark, f"file://{rest}"))
+    source = grow(tmp_path / "source", {"foo": "foo", "sub/bar": "bar", "sub/foo": "foo"})
+    plan = space.push(uri, snapshot=space.stage(str(source)), dry_run=True)
+    assert {r.reason for r in plan.collect()} == {"missing"} and plan.count() == 2
+    snapshot = space.push(uri, str(source))
+    far = ArrowStore(space.spark, f"file://{tmp_path}/far")
+    assert far.has_manifest(snapshot) and not far.has_manifest("0" * 64)
+    assert sorted(r.checksum for r in far.inventory().collect()) == sorted(blake3([b"foo\n", b"bar\n"])[k].hex() for k in (0, 1))
+    assert {r.actual_checksum for r in far.inventory("md5").collect()} == {hashlib.md5(b).hexdigest() for b in (b"foo\n", b"bar\n")}
+    assert far.put_objects(space.cache.object_paths()) == 0
+    other = Workspace(space.spark, str(tmp_path / "other"))
+    assert other.pull(uri, snapshot, str(tmp_path / "out"), dry_run=True).count() == 2 and not (tmp_path / "out").exists()
+    other.pull(uri, snapshot, str(tmp_path / "out"))
+    assert other.id(str(tmp_path / "out")) == snapshot
+    bad = tmp_path / "far" / shard(blake3([b"foo\n"])[0].hex())
+    bad.write_text("fo")
+    with pytest.raises(FileNotFoundError, match="missing or damaged"):
+        Workspace(space.spark, str(tmp_path / "third")).fetch(uri, snapshot)
+    with pytest.raises(Exception, match="is not"):
+        far.put_objects(space.spark.createDataFrame([("f" * 64, f"file://{bad}")], "checksum string, source string"))
+    assert [r.checksum for r in far.purge().collect()] == [blake3([b"foo\n"])[0].hex()] and not bad.exists()
+    with pytest.raises(FileNotFoundError):
+        far.manifest("0" * 64)
+    assert ArrowStore(space.spark, f"file://{tmp_path}/none").inventory().count() == 0
+
+
+def test_memo_reads_changed_files_only(spark, tmp_path):
+    root = grow(tmp_path / "tree", {"a": "aaa", "b": "bbb", "sub/c": "ccc"})
+    plain = sorted(map(str, manifest_of(spark, str(root)).collect()))
+    manifest, memo = manifest_with_memo(spark, str(root))
+    assert sorted(map(str, manifest.collect())) == plain
+    wrong = memo.withColumn("checksum", F.lit("0" * 64))  # shows whose checksum is taken over
+    (root / "a").write_text("AAA\n")  # the same size
+    os.utime(root / "a", ns=(1, 1))
+    again, _ = manifest_with_memo(spark, str(root), wrong)
+    taken = {r.path: r.checksum for r in again.collect() if r.path_type == "F"}
+    assert taken == {"./a": blake3([b"AAA\n"])[0].hex(), "./b": "0" * 64, "./sub/c": "0" * 64}
+    third, _ = manifest_with_memo(spark, str(root), memo, memo_id(memo))
+    assert sorted(map(str, third.collect())) == sorted(map(str, manifest_of(spark, str(root)).collect()))
+    with pytest.raises(ValueError, match="another id"):
+        manifest_with_memo(spark, str(root), wrong, memo_id(memo))
+
+
+def test_another_catalog_and_dry_runs(spark, tmp_path):
+    seen = []
+
+    class Noted:
+        def log(self, event, snapshot, location):
+            seen.append((event, location))
+
+    catalog.register_catalog("noted", lambda spark, place: Noted())
+    space = Workspace(spark, str(tmp_path / "cache"), "noted:anywhere")
+    source = grow(tmp_path / "source", {"foo": "foo"})
+    assert space.stage(str(source), dry_run=True).count() == 1 and not seen
+    snapshot = space.stage(str(source))
+    assert space.id(str(source)) == snapshot and [e for e, _ in seen] == ["stage", "manifest"]
+    (tmp_path / "cache" / shard(blake3([b"foo\n"])[0].hex())).write_text("tampered")
+    assert space.verify_cache(purge=True, dry_run=True).count() == 1 and space.verify_cache(purge=True).count() == 1
+    assert space.verify_cache().count() == 0
+    text = space.cache.manifest(snapshot)
+    assert sorted(map(str, space.manifest(text="# note\n" + text).collect())) == sorted(map(str, space.manifest(snapshot=snapshot).collect()))
+    with pytest.raises(ValueError, match="not an id"):
+        space.manifest(snapshot="abc")
+    assert space.manifest(str(source), stage=True).count() == 2
+
+
+def test_other_exclude_lists(spark, tmp_path):
+    root = grow(tmp_path / "tree", {"keep": "x", "out/a": "y", ".git/b": "z"})
+    spark.dataSource.register(FsTree)
+    read = lambda **o: sorted(r.path for r in spark.read.format("fstree").options(exclude="%common%", algorithm="none", **o).load(str(root)).filter("path_type = 'F'").collect())
+    assert read() == ["./keep", "./out/a"] and read(commonExcludes="out") == ["./.git/b", "./keep"]
