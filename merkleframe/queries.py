@@ -7,15 +7,23 @@ event log: user_id is the location, the digest of event_type the snapshot id.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import shutil
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import digest
-from .lineage import checkpoint
+from .lineage import checkpoint, shared_folder
 from .operators import algebra, catalog, incremental, integrity, merkle, objects
+from .plans.workflows import Workspace, manifest_of, manifest_with_memo, memo_id
 from .schema import MANIFEST_COLUMNS, format_line, parse_lines
+from .sources.fstree import scan
+from .sources.stores import LocalStore
+from .streaming.events import HISTORY, ingest
 
 PURCHASE = "purchase"
 USER = "42"
@@ -258,6 +266,119 @@ def blake3_keyed_manifest(spark, sf_dir):
     return merkle.rollup(files, algorithm="blake3", context="secret")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new local path in the shared folder, for files."""
+    folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    if ":" in folder.split("/")[0]:
+        raise ValueError(f"{folder} is no folder that files can be written to")
+    return f"{folder}/files-{uuid.uuid4().hex}"
+
+
+def _as_files(contents: DataFrame, root: str) -> None:
+    """Write (path, content) as files of mode 600 in folders of mode 700."""
+
+    def written(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                to = f"{root}/{path.removeprefix('./')}"
+                folder = root
+                for part in ("", *os.path.relpath(os.path.dirname(to), root).split("/")):
+                    folder = os.path.normpath(f"{folder}/{part}")
+                    os.makedirs(folder, exist_ok=True)
+                    os.chmod(folder, 0o700)
+                with open(to, "wb") as f:
+                    f.write((content or "").encode())
+                os.chmod(to, 0o600)
+            yield frame[["path"]]
+
+    os.makedirs(root, exist_ok=True)
+    contents.select("path", "content").mapInPandas(written, "path string").count()
+
+
+def _on_files(query: Callable[[SparkSession, str, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over the documents as a tree of files, which is removed afterwards."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = _scratch(spark)
+        try:
+            _as_files(_contents(spark, sf_dir), f"{folder}/tree")
+            return checkpoint(query(spark, sf_dir, folder))
+        finally:
+            shutil.rmtree(folder, ignore_errors=True)
+
+    return run
+
+
+def scan_manifest(spark, sf_dir, folder):
+    return manifest_of(spark, f"{folder}/tree", algorithm="sha256")
+
+
+def scan_excluded(spark, sf_dir, folder):
+    return manifest_of(spark, f"{folder}/tree", exclude="/tree/fr(/|$)|/src1[0-9](/|$)", algorithm="sha256")
+
+
+def memo_manifest(spark, sf_dir, folder):
+    """A second scan, which takes the digests over from the first."""
+    _, memo = manifest_with_memo(spark, f"{folder}/tree", algorithm="sha256")
+    return manifest_with_memo(spark, f"{folder}/tree", memo, memo_id(memo), algorithm="sha256")[0]
+
+
+def pulled_manifest(spark, sf_dir, folder):
+    """Stage, push to a store, pull from there into another folder, and scan that."""
+    store = f"{folder}/store"
+    snapshot = Workspace(spark, f"{folder}/cache").push(store, f"{folder}/tree")
+    Workspace(spark, f"{folder}/other").pull(store, snapshot, f"{folder}/out")
+    return manifest_of(spark, f"{folder}/out", algorithm="sha256")
+
+
+def store_inventory(spark, sf_dir, folder):
+    """Objects put into a store; the inventory reads and hashes them again."""
+    store = LocalStore(spark, f"{folder}/store", "sha256")
+    rows = algebra.only_files(scan(spark, f"{folder}/tree", algorithm="sha256"))
+    store.put_objects(rows.select("checksum", F.col("abs_path").alias("source")))
+    return store.inventory()
+
+
+def store_purged(spark, sf_dir, folder):
+    """A store whose objects the curated version's bytes were written over, after its damaged objects are deleted."""
+    base, curated = _hashed(_contents(spark, sf_dir)), _curated(spark, sf_dir)
+    first = base.groupBy("checksum").agg(F.min("path").alias("path"))
+    over = first.join(curated.select("path", "content"), "path").select(objects.sharded(F.col("checksum")).alias("path"), "content")
+    _as_files(over, f"{folder}/store")
+    store = LocalStore(spark, f"{folder}/store", "sha256")
+    store.purge()
+    return store.inventory()
+
+
+def lineage(spark, sf_dir):
+    """Extension: everything before a snapshot, through cycles."""
+    return catalog.lineage(_history(spark, sf_dir), _purchase_id(spark))
+
+
+def streamed_history(spark, sf_dir):
+    """Extension: the event log as a stream, collapsed with state."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _log(spark, sf_dir).select("id", "location", "created_at").write.parquet(f"{folder}/in")
+    events = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    ingest(events.withColumn("created_at", F.col("created_at").cast("timestamp")), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(HISTORY).parquet(f"{folder}/out").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+#: A small tree, and its root's BLAKE3 checksums, plain and with the context "secret".
+_TREE = {"a/a1f": "a1f", "a/aa/aa1f": "aa1f", "a/aa/aaa/aaa1f": "aaa1f", "a/aa/aaa/aaa2f": "aaa2f", "b/bb/bbb/bbb1f": "bbb1f", "b/bb/bbb/bbb2f": "bbb2f", "c/cc/ccc/ccc1f": "ccc1f", "r1f": "r1f"}
+_TREE_ROOTS = {"plain": "207d090daf06217a0920593ee642a90fcad85b9dccec02725e85311005f64327", "secret": "b64e60321e94894fe9e23522c527a9326521389944198910a3801987c2ab1a19"}
+
+
+def blake3_roots(spark, sf_dir):
+    tree = spark.createDataFrame([(f"./{p}", f"{t}\n") for p, t in _TREE.items()], "path string, content string")
+    size = F.octet_length("content").cast("long").alias("size")
+    roots = [
+        merkle.rollup(tree.select("path", digest(F.col("content"), "blake3", context).alias("checksum"), size), algorithm="blake3", context=context).filter("path = './'").select(F.lit(name).alias("kind"), "checksum")
+        for name, context in (("plain", None), ("secret", "secret"))
+    ]
+    return roots[0].unionByName(roots[1])
+
+
 _DOCS = "SELECT './' || lang || '/' || source || '/' || doc_id AS path, text AS content, doc_id FROM documents"
 _CURATED = f"""SELECT path, CASE WHEN quality = 0 THEN lower(content) ELSE content END AS content, CASE WHEN quality = 0 THEN 1 ELSE 0 END AS changed
   FROM ({_DOCS}) d LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0
@@ -340,6 +461,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "md5_manifest": md5_manifest,
     "blake3_manifest": blake3_manifest,
     "blake3_keyed_manifest": blake3_keyed_manifest,
+    "blake3_roots": blake3_roots,
+    "scan_manifest": _on_files(scan_manifest),
+    "scan_excluded": _on_files(scan_excluded),
+    "memo_manifest": _on_files(memo_manifest),
+    "pulled_manifest": _on_files(pulled_manifest),
+    "store_inventory": _on_files(store_inventory),
+    "store_purged": _on_files(store_purged),
+    "lineage": lineage,
+    "streamed_history": streamed_history,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -391,4 +521,17 @@ ORACLE_SQL: dict[str, str] = {
   split_part(regexp_replace(url, '^[^:]*://', ''), '/', 1) AS bucket, regexp_extract(regexp_replace(url, '^[^:]*://', ''), '^[^/]*/(.*)$', 1) AS base_dir FROM pages""",
     "digests": f"SELECT path, md5(content) AS md5, sha1(content) AS sha1, sha256(content) AS sha256 FROM ({_DOCS})",
     "md5_manifest": _manifest_sql(_DOCS, "md5"),
+    "blake3_roots": f"SELECT * FROM (VALUES {', '.join(f'({k!r}, {v!r})' for k, v in _TREE_ROOTS.items())}) t(kind, checksum)",
+    "scan_manifest": _manifest_sql(_DOCS),
+    "scan_excluded": _manifest_sql(f"SELECT * FROM ({_DOCS}) WHERE NOT regexp_matches(path, '^\\./fr/|/src1[0-9]/')"),
+    "memo_manifest": _manifest_sql(_DOCS),
+    "pulled_manifest": _manifest_sql(_DOCS),
+    "store_inventory": f"SELECT path, checksum, checksum AS actual_checksum FROM ({_LAYOUT})",
+    "store_purged": f"SELECT path, checksum, actual_checksum FROM ({_INVENTORY}) WHERE checksum = actual_checksum",
+    "lineage": f"""WITH RECURSIVE h AS ({_HISTORY}),
+  before AS (
+    SELECT sha256('{PURCHASE}') AS id, 0 AS hops
+    UNION SELECT h.previous_id, b.hops + 1 FROM before b JOIN h ON h.id = b.id WHERE h.previous_id IS NOT NULL AND b.hops < 64)
+SELECT id, min(hops)::INTEGER AS hops FROM before GROUP BY id HAVING min(hops) > 0""",
+    "streamed_history": _HISTORY,
 }
