@@ -5,7 +5,8 @@ into groups of bounded size by a hash of their document, and each group is packe
 pieces first. A piece goes into the open sequence whose room it fills best. Where none has room, a new
 sequence is opened in the length of least cost per token, taking the tokens it will hold to be the
 piece and, of the room left, the part that pieces still to come can fill. At last every sequence is
-downsized to the shortest permitted length that holds its contents.
+downsized to the shortest permitted length that holds its contents. Where opening the greatest length
+only, and then downsizing, comes out cheaper for a group, it is packed so.
 """
 
 from __future__ import annotations
@@ -51,12 +52,18 @@ class _Rooms:
 
 
 def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece and the final length of each sequence.
+    """(sequence, offset) of each piece and the final length of each sequence: the cheaper way of opening any length and of opening the greatest only.
 
     Sizes are at most the greatest length and in falling order; ties keep their order. Pieces of no
     tokens go to sequence 0 at offset 0 (a sequence of the least length if there is no other).
     """
     lengths = tuple(sorted(lengths))
+    ways = [best_fit(sizes, opened, lengths, overhead) for opened in (lengths, lengths[-1:])]
+    return min(ways, key=lambda way: way[2].sum() + overhead * len(way[2]))
+
+
+def best_fit(sizes: np.ndarray, opened: tuple[int, ...], lengths: tuple[int, ...], overhead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``pack``, opening sequences of the lengths ``opened``, and downsizing them to ``lengths``."""
     n = len(sizes)
     sequence, offset = np.zeros(n, np.int64), np.zeros(n, np.int64)
     left = np.append(np.cumsum(sizes[::-1])[::-1], 0)  # tokens from each piece on
@@ -70,7 +77,7 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, overhead: int =
             rest, pieces = int(left[k + 1]), n - k - 1
             mean = rest / pieces if pieces else 0
             best = None
-            for length in lengths:
+            for length in opened:
                 if length >= size:
                     room = length - size
                     filled = min(rest, max(0.0, room - mean / 2)) if mean else 0.0

@@ -102,6 +102,69 @@ def test_packing_keeps_all_pieces(sizes):
         assert final.sum() <= single
 
 
+def slow_pack(sizes, lengths, overhead):
+    """Best fit by looking at every open sequence: (capacity, pieces) of each; of equal rooms, the one that came to it last."""
+    open_, left = [], sum(sizes)
+    for k, size in enumerate(sizes):
+        left -= size
+        if not size:
+            break
+        fitting = [(o["room"], -o["since"], j) for j, o in enumerate(open_) if o["room"] >= size]
+        if fitting:
+            own = open_[min(fitting)[2]]
+        else:
+            mean = left / (len(sizes) - k - 1) if k + 1 < len(sizes) else 0
+            cost = lambda c: (c + overhead) / (size + (min(left, max(0.0, c - size - mean / 2)) if mean else 0.0))  # noqa: B023, E731
+            own = {"capacity": min((c for c in lengths if c >= size), key=lambda c: (cost(c), c)), "room": 0, "pieces": []}
+            own["room"] = own["capacity"]
+            open_.append(own)
+        own["room"] -= size
+        own["since"] = k
+        own["pieces"].append(size)
+    return open_
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 64), min_size=1, max_size=40))
+def test_packing_equals_slow_best_fit(sizes):
+    sizes = sorted(sizes, reverse=True)
+    sequence, _, final = packing.best_fit(np.array(sizes, np.int64), (16, 32, 64), (16, 32, 64), 2)
+    expected = slow_pack(sizes, (16, 32, 64), 2)
+    got = [[s for s, q in zip(sizes, sequence) if q == k and s] for k in range(len(final))]
+    assert [g for g in got if g] == [o["pieces"] for o in expected]
+
+
+def test_packing_is_near_the_optimum():
+    """Against the cheapest of all ways to part a few pieces."""
+    lengths, overhead, r = (16, 32, 64), 2, random.Random(3)
+
+    def cheapest(rest):
+        if not rest:
+            return 0
+        best = float("inf")
+        for chosen in range(1 << (len(rest) - 1)):  # who shares a sequence with the first piece
+            own = rest[0] + sum(s for j, s in enumerate(rest[1:]) if chosen >> j & 1)
+            if own <= lengths[-1]:
+                best = min(best, next(c for c in lengths if c >= own) + overhead + cheapest(tuple(s for j, s in enumerate(rest[1:]) if not chosen >> j & 1)))
+        return best
+
+    ratios = []
+    for _ in range(60):
+        sizes = sorted((r.randint(1, 64) for _ in range(r.randint(1, 7))), reverse=True)
+        final = packing.pack(np.array(sizes, np.int64), lengths, overhead)[2]
+        ratios.append((final.sum() + overhead * len(final)) / cheapest(tuple(sizes)))
+    assert min(ratios) >= 1 and np.mean(ratios) < 1.1 and max(ratios) < 1.7
+
+
+def test_sequences_are_full(spark):
+    from pyspark.sql import functions as F
+
+    rows = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    each = rows.groupBy("group", "sequence").agg(F.sum("n_tokens").alias("used"), F.max("sequence_length").alias("length"))
+    used, length = each.agg(F.sum("used"), F.sum("length")).first()
+    assert used / length > 0.995
+
+
 def test_pack_documents(spark, docs, clashing):
     got = packing.pack_documents(clashing(docs(*ODD, ids=[0, 1, 2, 3, 4, 4, None, 7, 8, 9, 10])), (64, 512)).collect()
     tokens = {}
