@@ -172,12 +172,13 @@ def forest(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF, cosine: flo
         if stuck_at is not None:  # a node that kept its place can't be split
             counts = counts.join(stuck_at, _NODE, "left_anti")
         counts = checkpoint(counts)
+        few = F.broadcast if counts.count() <= BROADCAST_NODES else (lambda x: x)
         if settled is None:  # a label that isn't split has the same leaf in all trees
-            placed = placed.join(counts.filter("tree = 0").select("label", "dim").withColumn("splits", F.lit(True)), ["label", "dim"], "left")
-            placed = placed.filter("tree = 0 or splits").select(*_NODE, "c")
+            divided = few(counts.filter("tree = 0").select("label", "dim"))
+            placed = placed.filter("tree = 0").unionByName(placed.filter("tree > 0").join(divided, ["label", "dim"], "left_semi"))
         if counts.isEmpty():
             return placed if settled is None else settled.unionByName(placed)
-        small = F.broadcast(counts) if counts.count() <= BROADCAST_NODES else counts
+        small = few(counts)
         done = placed.join(small, _NODE, "left_anti")
         settled = done if settled is None else settled.unionByName(done)
         placed = checkpoint(_grown(rows.join(small.drop("n"), _NODE, "left_semi"), counts, leaf, types, cosine))
