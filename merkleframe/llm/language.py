@@ -27,6 +27,8 @@ UNKNOWN = "und"
 _SEED = 20240229
 #: Characters that are looked at together.
 _CHARACTERS = 1 << 18
+#: Texts whose bundles are held at once.
+_TEXTS = 1024
 #: Trigram vectors, and letter vectors, that a worker keeps.
 _KEPT, _LETTERS = 1 << 14, 1 << 15
 #: Letters are code points below this one.
@@ -175,11 +177,20 @@ class Model:
 
     def likeness(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The cosine of each text with each language before the mean is taken out, the length class (log2 of the letters) and the place of the predicted language."""
+        parts = [self._likeness(texts[k : k + _TEXTS]) for k in range(0, max(1, len(texts)), _TEXTS)]
+        return tuple(np.concatenate(p) for p in zip(*parts))
+
+    def _likeness(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bundles, letters = _trigrams(self.sums.shape[1]).bundles(texts)
         best = (_units(self._without(bundles)) @ self.prototypes.T).argmax(1)
         return _units(bundles) @ _units(self.sums.astype(np.float32)).T, np.log2(np.maximum(1, letters)).astype(int), np.where(letters > 0, best, -1)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The language and the score of each text."""
+        parts = [self._predict(texts[k : k + _TEXTS]) for k in range(0, max(1, len(texts)), _TEXTS)]
+        return [name for names, _ in parts for name in names], np.concatenate([scores for _, scores in parts])
+
+    def _predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         bundles, letters = _trigrams(self.sums.shape[1]).bundles(texts)
         if not self.names:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -202,9 +213,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     def bundled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for frame in frames:
-            unit = _units(_trigrams(dimensions).bundles(frame["t"].tolist())[0])
-            for name, own in frame.groupby("l", sort=False).indices.items():
-                sums[name] = sums.get(name, 0) + unit[own].astype(np.float64).sum(0)
+            for k in range(0, len(frame), _TEXTS):
+                part = frame.iloc[k : k + _TEXTS]
+                unit = _units(_trigrams(dimensions).bundles(part["t"].tolist())[0])
+                for name, own in part.groupby("l", sort=False).indices.items():
+                    sums[name] = sums.get(name, 0) + unit[own].astype(np.float64).sum(0)
         if sums:
             yield pd.DataFrame({"l": [n for n in sums for _ in range(dimensions)], "k": list(range(dimensions)) * len(sums), "x": np.concatenate([*sums.values()])})
 
