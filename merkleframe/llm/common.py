@@ -34,6 +34,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parts_for(rows: int) -> int:
+    """The most files that a checkpoint of so many narrow rows is worth: where Hadoop's native library is missing, each file costs two processes."""
+    return max(16, rows // 50_000)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, parts_for
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,10 +37,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     edges = edges.filter("u is not null and v is not null and u <> v")
     edges = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     stamp = _stamp(edges)
+    parts = parts_for(stamp[0])
     for _ in range(most_rounds):
         if not stamp[0]:
             break
-        edges = checkpoint(_small_star(_large_star(edges)))
+        edges = checkpoint(_small_star(_large_star(edges)).coalesce(parts))
         was, stamp = stamp, _stamp(edges)
         if was == stamp:
             break

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, parts_for
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,16 +88,17 @@ def _runs(active: DataFrame, min_words: int) -> DataFrame:
 
 def _doubled(active: DataFrame, rounds: int) -> DataFrame:
     """Adds ranks r1, r2, ... of runs of 2, 4, ... lines; null where such a run is unique or leaves the stretch."""
-    coarse = max(1, active.count() // _BUCKETS)
+    n = active.count()
+    coarse, parts = max(1, n // _BUCKETS), parts_for(n)
     for k in range(rounds):
         r, new = f"r{k}", f"r{k + 1}"
         following = F.lead(r, 1 << k).over(Window.partitionBy(*_DOC, "stretch").orderBy("seq"))
-        active = checkpoint(active.withColumn("next", following))
+        active = checkpoint(active.withColumn("next", following).coalesce(parts))
         counts = active.filter(F.col(r).isNotNull()).groupBy(r, "next").agg(F.count(F.lit(1)).alias("n"))
         ranks = _running(counts, [r], F.coalesce(F.floor(F.col("next") / coarse), F.lit(-1)), ["next"], "n")
         ranks = ranks.filter("next is not null and n > 1").select(r, "next", (F.col(r) + F.col("before")).alias(new))
         active = active.join(ranks, [r, "next"], "left").drop("next")
-    return checkpoint(active)
+    return checkpoint(active.coalesce(parts))
 
 
 def _later_copies(active: DataFrame, runs: DataFrame, rounds: int) -> DataFrame:

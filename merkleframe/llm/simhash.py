@@ -34,6 +34,22 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # of e
 _OFFSETS = np.arange(8, dtype=np.int64) * 256
 
 
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes (little-endian) each bit is set."""
+    seen = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _OFFSETS).ravel(), minlength=2048)
+    return (seen.reshape(8, 256) @ _BITS).ravel()
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of shingles that are hashed already; 0 of none."""
+    hashes = np.ascontiguousarray(hashes, "<u8")
+    return _majority(sum((_bit_counts(hashes[k : k + _CHUNK]) for k in range(0, len(hashes), _CHUNK)), np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprint_text(text: str | None) -> int:
     """The 64-bit fingerprint of a whole text: bit k is set if over half of the 3-word shingles' XXH64 have it set.
 
@@ -50,9 +66,8 @@ def fingerprint_text(text: str | None) -> int:
         part = words[start : min(start + _CHUNK, n) + 2]
         shingles = zip(part, part[1:], part[2:]) if len(words) > 2 else [part]
         hashes = np.array([digest(b" ".join(s), 42) for s in shingles], dtype="<u8")
-        seen = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _OFFSETS).ravel(), minlength=2048)
-        counts += (seen.reshape(8, 256) @ _BITS).ravel()
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+        counts += _bit_counts(hashes)
+    return _majority(counts, n)
 
 
 @F.pandas_udf(T.LongType())

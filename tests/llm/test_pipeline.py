@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -81,6 +84,24 @@ def test_near_dedup_goes_by_similarity(spark, monkeypatch):
     assert kept == [0, 4, 5, 6, 46, 48]
 
 
+def test_near_dedup_searches_by_fingerprint(spark, monkeypatch):
+    kinds = "node string, bands array<bigint>, fp bigint"
+
+    @F.pandas_udf(kinds)
+    def without_bands(texts: pd.Series) -> pd.DataFrame:
+        sets = [similar.shingles(t) for t in texts]
+        prints = np.array([simhash.fingerprint_of(s) for s in sets], np.uint64).view(np.int64)
+        return pd.DataFrame({"node": [s.tobytes().hex() for s in sets], "bands": [[] for _ in sets], "fp": prints})
+
+    monkeypatch.setattr(similar, "_keys", without_bands)
+    r = random.Random(4)
+    base = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(base) + " end", " ".join(reversed(base))]
+    assert all(bin(simhash.fingerprint_of(similar.shingles(texts[0])) ^ simhash.fingerprint_of(similar.shingles(t))).count("1") <= 2 for t in texts[1:3])
+    table = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCUMENTS)
+    assert sorted(row.doc_id for row in corpus_pipeline.near_dedup(spark, table, "").collect()) == [0, 3]
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
