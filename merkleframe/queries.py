@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import digest
-from .lineage import checkpoint, shared_folder
+from .lineage import checkpoint, release, shared_folder
 from .operators import algebra, catalog, incremental, integrity, merkle, objects
 from .plans.workflows import Workspace, manifest_of, manifest_with_memo, memo_id
 from .schema import MANIFEST_COLUMNS, format_line, parse_lines
@@ -324,13 +324,30 @@ def memo_manifest(spark, sf_dir, folder):
 
 
 def pulled_manifest(spark, sf_dir, folder):
-    """Stage, push to a store, pull from there into another folder, and scan that."""
-    store = f"{folder}/store"
-    snapshot = Workspace(spark, f"{folder}/cache").push(store, f"{folder}/tree")
-    Workspace(spark, f"{folder}/other").pull(store, snapshot, f"{folder}/out")
+    """Stage, push to a store, pull from there into another folder, and scan that.
+
+    Small objects are in packs. What the following steps don't read is removed before them: each has only what
+    the one before it wrote.
+    """
+    store = f"packed://{folder}/store"
+    space, other = Workspace(spark, f"packed://{folder}/cache"), Workspace(spark, f"packed://{folder}/other")
+    snapshot = space.stage(f"{folder}/tree")
+    _removed(spark, f"{folder}/tree")
+    space.push(store, snapshot=snapshot)
+    space.flush()
+    other.fetch_intact(store, snapshot)
+    _removed(spark, f"{folder}/store")
+    other.checkout(snapshot, f"{folder}/out")
+    other.flush()
+    release(spark)
     return manifest_of(spark, f"{folder}/out", algorithm="sha256")
 
 
+def _removed(spark: SparkSession, folder: str) -> None:
+    shutil.rmtree(folder)
+    release(spark)
+
+
 def store_inventory(spark, sf_dir, folder):
     """Objects put into a store; the inventory reads and hashes them again."""
     store = LocalStore(spark, f"{folder}/store", "sha256")

@@ -12,13 +12,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from merkleframe import queries
 from merkleframe.functions import hashing
 from merkleframe.functions.blake3 import Span, blake3, blake3_stream, combine
 from merkleframe.functions.hashing import digest, register
 from merkleframe.operators import algebra, catalog, incremental, integrity, merkle, objects
 from merkleframe.plans.workflows import CheckoutError, Workspace, id_of, manifest_of, manifest_with_memo, memo_id, text_of
 from merkleframe.schema import parse_text
-from merkleframe.sources import fstree, stores
+from merkleframe.sources import fstree, packs, stores
 from merkleframe.sources.fstree import FsTree, scan
 from merkleframe.sources.stores import ArrowStore, LocalStore, open_store, register_store, shard
 
@@ -370,6 +371,83 @@ def test_checkout_gives_new_directories_their_modes(space, tmp_path):
     assert {n: stat.S_IMODE(os.stat(target / n).st_mode) for n in modes} == modes | {"": 0o700, "c": 0o700}
 
 
+def test_small_objects_in_packs(space, tmp_path):
+    """Many small objects and a large one through packed stores; damaged packs are seen, mended and purged."""
+    spark = space.spark
+    texts = {f"d{k % 3}/f{k}": f"text {k}" for k in range(300)} | {"copy": "text 7", "empty": "", "large": "y" * 100_000}
+    source, store, cache = grow(tmp_path / "source", texts), f"packed://{tmp_path}/store", tmp_path / "cache"
+    snapshot = space.stage(str(source))
+    packed = Workspace(spark, f"packed://{cache}2")
+    assert packed.push(store, str(source)) == snapshot
+    assert rows(packed.cache.inventory()) == rows(space.cache.inventory())
+    files = lambda at: [p for p in (tmp_path / at).rglob("*") if p.is_file()]
+    assert len(files("store/.objects")) == 1 and not [p for p in files("store/.packs") if p.suffix != ".parquet"]
+    size = lambda at: sum(os.lstat(p).st_blocks * 512 for p in (tmp_path / at).rglob("*"))
+    assert 5 * size("store") < size("cache")
+    assert packed.cache.put_objects(space.cache.object_paths()) == 0 and space.cache.put_objects(packed.cache.object_paths()) == 0
+
+    other = Workspace(spark, f"packed://{tmp_path}/other")
+    other.pull(store, snapshot, str(tmp_path / "target"))
+    assert other.id(str(tmp_path / "target")) == snapshot
+    other.checkout(snapshot, str(tmp_path / "linked"), linked=True)
+    assert os.stat(tmp_path / "linked" / "large").st_nlink == 2 and other.id(str(tmp_path / "linked")) == snapshot
+    plain = Workspace(spark, str(tmp_path / "plain"))
+    plain.fetch(store, snapshot)  # from packs to files
+    assert rows(plain.cache.inventory()) == rows(space.cache.inventory())
+
+    # other contents under an object's name, and a pack that can't be read at all
+    first, *_, last = sorted(files("other/.packs"))
+    named = dict(packs.names(str(first)))
+    bad = min(named)
+    held = [(c, packs.packed(s) if c != bad else b"tampered") for c, s in named.items()]
+    with packs._writer(str(first)) as writer:
+        packs._put(writer, held)
+    lost = {c for c, _ in packs.names(str(last))}
+    last.write_bytes(b"cut off")
+    failed = lambda: {r.checksum for r in other.verify(snapshot).filter("status = 'FAILED'").collect()}
+    assert failed() == {bad, *lost} and [r.checksum for r in other.verify_cache().collect()] == [bad]
+    with pytest.raises(CheckoutError, match="not in the cache"):
+        other.checkout(snapshot, str(tmp_path / "t"))
+    assert [r.checksum for r in other.cache.purge().collect()] == [bad] and not last.exists()
+    assert failed() == {bad, *lost} and other.verify_cache().count() == 0  # the others of the first pack stay
+    other.fetch(store, snapshot)
+    assert not failed() and rows(other.cache.inventory()) == rows(space.cache.inventory())
+    # an object that is damaged is replaced without a purge, alone in a pack too
+    alone = LocalStore(spark, str(tmp_path / "alone"), pack=packs.PACKED)
+    one = space.cache.object_paths().filter(F.col("checksum") == bad)
+    assert alone.put_objects(one) == 1
+    with packs._writer(str(files("alone/.packs")[0])) as writer:
+        packs._put(writer, [(bad, b"tampered")])
+    assert alone.put_objects(one) == 1 and alone.put_objects(one) == 0
+    assert [(r.checksum, r.actual_checksum) for r in alone.inventory().collect()] == [(bad, bad)]
+    with pytest.raises(Exception, match="is not"):
+        alone.put_objects(spark.createDataFrame([("f" * 64, str(source / "empty"))], "checksum string, source string"))
+    assert len(files("alone/.packs")) == 1
+    other.flush()
+    assert not files("other/.packs")
+
+
+def test_pull_holds_one_tree_at_a_time(spark, tmp_path, monkeypatch):
+    """On disk, the query over files holds the tree and little else after each of its steps."""
+    size = lambda at: sum(os.lstat(p).st_blocks * 512 for p in at.rglob("*"))
+    grow(tmp_path / "tree", {f"d{k % 5}/f{k}": f"text {k} " * 40 for k in range(400)})
+    tree, seen = size(tmp_path / "tree"), []
+
+    def noted(step):
+        def run(*args, **kwargs):
+            out = step(*args, **kwargs)
+            seen.append(size(tmp_path))
+            return out
+
+        return run
+
+    for name in ("stage", "push", "fetch", "checkout"):
+        monkeypatch.setattr(Workspace, name, noted(getattr(Workspace, name)))
+    expected = rows(manifest_of(spark, str(tmp_path / "tree"), algorithm="sha256"))
+    assert rows(queries.pulled_manifest(spark, "", str(tmp_path))) == expected
+    assert len(seen) == 4 and max(seen) < 1.3 * tree
+
+
 def test_verify_purge_and_restage(space, tmp_path):
     source = grow(tmp_path / "source", {"foo": "foo", "bar": "bar"})
     snapshot = space.stage(str(source))
